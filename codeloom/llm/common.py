@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from codeloom.runtime import checked_broadcast
+from codeloom.runtime import checked_broadcast, stage
 
 
 def map_columns(df: DataFrame, schema: str, run: Callable[[Iterator[list[list]]], Iterator[list]]) -> DataFrame:
@@ -27,10 +27,16 @@ def map_columns(df: DataFrame, schema: str, run: Callable[[Iterator[list[list]]]
     return df.mapInArrow(go, schema)
 
 
-def without(docs: DataFrame, dropped: DataFrame, key: str = "doc_id", row_bytes: int = 24) -> DataFrame:
-    """docs without the rows whose key is in dropped; rows with a null key stay.
+def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """128 bits that name a row by its id and text, nulls told apart from empty ones."""
+    parts = F.coalesce(F.col(id_col).cast("string"), F.lit("-")), F.coalesce(F.concat(F.lit("+"), F.col(text_col)), F.lit("-"))
+    return F.unhex(F.md5(F.concat_ws("|", *parts).cast("binary"))).alias("row")
+
+
+def without(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without the rows whose row_key is in dropped's column row; all columns of docs stay.
 
     dropped is broadcast when its counted rows are few enough, else the join shuffles.
     """
-    gone = dropped.select(F.col(key).alias("__gone")).distinct()
-    return docs.join(checked_broadcast(gone, row_bytes), F.col(key) == F.col("__gone"), "left_anti")
+    gone = stage(dropped.select(F.col("row").alias("__gone")).distinct(), "dropped")
+    return docs.join(checked_broadcast(gone, 64), row_key(id_col, text_col) == F.col("__gone"), "left_anti")

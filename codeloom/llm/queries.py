@@ -7,14 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from codeloom.llm.bpe import encode_documents
+from codeloom.llm.decontam import contamination
 from codeloom.llm.exact_dedup import exact_groups
 from codeloom.llm.simhash import near_groups
+from codeloom.llm.toxicity import fit, score_documents
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return score_documents(docs, fit(docs, _table(spark, sf_dir, "labels")))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as vocab
 
@@ -25,13 +32,20 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_table(spark, sf_dir, "documents"), keep="max")
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_toxicity": op2_toxicity,
     "op3_bpe": op3_bpe,
     "op6_exact_dedup": op6_exact_dedup,
+    "op8_decontamination": op8_decontamination,
     "op10_simhash": op10_simhash,
 }
 
@@ -45,4 +59,26 @@ ORACLE: dict[str, str] = {
         FROM documents
         WINDOW g AS (PARTITION BY coalesce(text, ''))
     """,
+    "op8_decontamination": """
+        WITH low AS (
+            SELECT doc_id, row_number() OVER () AS r,
+                   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
+            FROM documents),
+        it AS (
+            SELECT item_id,
+                   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
+            FROM benchmark WHERE item_id IS NOT NULL),
+        ip AS (SELECT item_id, w, unnest(range(1, greatest(1, len(w) - 12) + 1)) AS p FROM it WHERE len(w) > 0),
+        iw AS (SELECT DISTINCT item_id, least(13, len(w)) AS n, array_to_string(w[p : p + 12], ' ') AS s FROM ip),
+        ns AS (SELECT DISTINCT n FROM iw),
+        dp AS (SELECT r, w, unnest(range(1, len(w) + 1)) AS p FROM low),
+        dw AS (SELECT r, p, n, array_to_string(w[p : p + n - 1], ' ') AS s FROM dp, ns WHERE p + n - 1 <= len(w)),
+        hit AS (SELECT r, p, iw.n, item_id FROM dw JOIN iw ON dw.n = iw.n AND dw.s = iw.s),
+        pos AS (SELECT r, count(DISTINCT q) AS n_hit FROM (SELECT r, unnest(range(p, p + n)) AS q FROM hit) GROUP BY r),
+        its AS (SELECT r, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS l FROM (SELECT DISTINCT r, item_id::VARCHAR AS i FROM hit) GROUP BY r)
+        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+               sha256(coalesce(l, '')) AS items_sha256,
+               coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+        FROM low LEFT JOIN pos USING (r) LEFT JOIN its USING (r)
+    """,
 }

@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import map_columns
+from codeloom.llm.common import map_columns, row_key
 from codeloom.llm.components import components, forest
 from codeloom.runtime import prepare, stage
 
@@ -69,14 +69,15 @@ def _signed(x: int) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
-    """(id, fp) for each row of docs, fp as a signed 64-bit integer; null texts count as empty."""
+    """(id, row, fp) for each row of docs: row is row_key, fp a signed 64-bit integer; null texts count as empty."""
     prepare(docs.sparkSession)
 
     def run(batches: Iterator[list[list]]) -> Iterator[list]:
-        for ids, texts in batches:
-            yield [ids, [_signed(fingerprint(t, words)) for t in texts]]
+        for ids, rows, texts in batches:
+            yield [ids, rows, [_signed(fingerprint(t, words)) for t in texts]]
 
-    return map_columns(docs.select(F.col(id_col).cast("long"), F.col(text_col)), f"`{id_col}` long, fp long", run)
+    src = docs.select(F.col(id_col).cast("long"), row_key(id_col, text_col), F.col(text_col))
+    return map_columns(src, f"`{id_col}` long, row binary, fp long", run)
 
 
 class _Masks:
@@ -201,13 +202,14 @@ def _masks_of(bins: int) -> _Masks:
     return _kept[bins]
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, with_row: bool = False) -> DataFrame:
     """One row per row of docs: id, fingerprint (16 hex digits), component_id (the smallest
     id that links of at most three bits reach, itself included).
 
     Empty, null and blank texts have fingerprint zero, which links like any other. Rows
     with one text share a fingerprint and so a component. Null ids get a component too but
     never name one, unless it has no other. An empty table gives an empty result.
+    with_row adds row, a key of the row's id and text.
     """
     prepare(docs.sparkSession)
     rows = stage(fingerprints(docs, id_col, text_col, words), "simhash-rows")
@@ -218,4 +220,4 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     named = labelled.groupBy("root").agg(F.min("low").alias("component_id"))
     linked = labelled.where(F.col("root").isNotNull()).join(named, "root").select("fp", "component_id")
     out = rows.join(linked, "fp")
-    return out.select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return out.select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", *["row"] * with_row)
