@@ -45,8 +45,8 @@ IDENTITY_TERMS = [
 #: Labelled rows to learn from at most (the smallest by a hash of the id), features at
 #: most, and labelled rows that must hold a feature.
 SAMPLE, VOCABULARY, MIN_ROWS = 20_000, 4_096, 4
-#: Weight of the counterfactual and of the ridge penalty.
-COUNTERFACTUAL, RIDGE = 5.0, 1e-4
+#: Weight of the counterfactual and of the ridge penalty; power of the log odds in a feature's size.
+COUNTERFACTUAL, RIDGE, SHARPNESS = 5.0, 1e-3, 2
 #: Score from which a document counts as toxic.
 THRESHOLD = 0.3
 
@@ -150,8 +150,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     chi = (a * (n0 - b) - b * (n1 - a)) ** 2 / ((a + b) * (n0 + n1 - a - b) + 1e-9)
     terms = sorted(_SWAP)
     picked = counts.where((F.col("f") != "") & (a + b >= MIN_ROWS)).orderBy(chi.desc(), "f").limit(vocabulary)
-    names = sorted({r["f"] for r in picked.select("f").collect()} | set(terms))
+    odds = {r["f"]: math.log((r["n1"] + 0.5) / (n1 + 1)) - math.log((r["n0"] + 0.5) / (n0 + 1)) for r in picked.collect()}
+    names = sorted(odds.keys() | set(terms))
     index = {f: i for i, f in enumerate(names)}
+    # a feature's size is its log odds: weak ones, mostly chance, must earn a large weight
+    scale = np.array([max(0.1, abs(odds.get(f, 1.0))) ** SHARPNESS for f in names])
 
     def rows(batches: Iterator[list[list]]) -> Iterator[list]:
         for ys, texts in batches:
@@ -174,12 +177,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             else:
                 deltas.append(sorted(one))
                 one = []
-    w, bias = _train([xs[i] for i in order], y[order], sorted(deltas), len(names), counterfactual)
+    w, bias = _train([xs[i] for i in order], y[order], sorted(deltas), scale, counterfactual)
     return Model({f: float(w[i]) for f, i in index.items() if abs(w[i]) > 1e-9}, float(bias))
 
 
-def _train(xs: list[list[int]], y: np.ndarray, deltas: list[list[tuple[int, float]]], size: int, counterfactual: float, steps: int = 400) -> tuple[np.ndarray, float]:
+def _train(xs: list[list[int]], y: np.ndarray, deltas: list[list[tuple[int, float]]], scale: np.ndarray, counterfactual: float, steps: int = 400) -> tuple[np.ndarray, float]:
     """Full-batch Adam on logistic loss, ridge and counterfactual penalty."""
+    size = len(scale)
     row = np.repeat(np.arange(len(xs)), [len(x) for x in xs])
     col = np.fromiter((i for x in xs for i in x), dtype=np.int64, count=len(row))
     drow = np.repeat(np.arange(len(deltas)), [len(d) for d in deltas]) if deltas else np.zeros(0, np.int64)
@@ -191,16 +195,16 @@ def _train(xs: list[list[int]], y: np.ndarray, deltas: list[list[tuple[int, floa
     w, bias = np.zeros(size), 0.0
     m, v = np.zeros(size + 1), np.zeros(size + 1)
     for t in range(1, steps + 1):
-        z = bias + np.bincount(row, weights=w[col], minlength=len(xs))
+        z = bias + np.bincount(row, weights=(w * scale)[col], minlength=len(xs))
         g = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
-        grad = np.append(np.bincount(col, weights=g[row], minlength=size) + RIDGE * w, g.sum())
+        grad = np.append(scale * np.bincount(col, weights=g[row], minlength=size) + RIDGE * w, g.sum())
         if len(deltas):
-            change = np.bincount(drow, weights=w[dcol] * dval, minlength=len(deltas))
-            grad[:-1] += 2 * counterfactual / len(deltas) * np.bincount(dcol, weights=change[drow] * dval, minlength=size)
+            change = np.bincount(drow, weights=(w * scale)[dcol] * dval, minlength=len(deltas))
+            grad[:-1] += 2 * counterfactual / len(deltas) * scale * np.bincount(dcol, weights=change[drow] * dval, minlength=size)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         step = 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, bias = w - step[:-1], bias - step[-1]
-    return w, bias
+    return w * scale, bias
 
 
 def score_column(model: Model, text: Column) -> Column:
