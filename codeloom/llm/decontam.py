@@ -14,10 +14,9 @@ united per document.
 
 from __future__ import annotations
 
-import re
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -31,13 +30,13 @@ WINDOW, SHINGLE = 13, 5
 #: Bytes of benchmark text in a slice.
 SLICE_BYTES = 8 << 20
 
-_WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
-_LOWER = {c: c + 32 for c in range(65, 91)}
+#: Of the UTF-8 bytes, A-Z in lower case, digits, a-z and all beyond ASCII; the others become spaces.
+_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
-def words_of(text: str | None) -> list[str]:
-    return _WORD.findall((text or "").translate(_LOWER))
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").encode().translate(_BYTES).split()
 
 
 def _rolling(ids: np.ndarray, k: int) -> np.ndarray:
@@ -58,7 +57,7 @@ class Index:
 
     def __init__(self, items: list[tuple[str, str]], window: int = WINDOW, shingle: int = SHINGLE):
         self.window, self.shingle = window, shingle
-        self.words: dict[str, int] = {}
+        self.words: dict[bytes, int] = {}
         owners: dict[tuple[int, ...], set[str]] = defaultdict(set)
         for name, text in items:
             ids = [self.words.setdefault(w, len(self.words) + 1) for w in words_of(text)]
@@ -96,19 +95,16 @@ class Index:
             self.prefix[k] = (keys, np.r_[start, len(first)], which[first], place[first])
         self.shingles = {}
 
-    def reader(self):
-        """text -> word numbers; remembers the chunks it has seen."""
-        words = self.words
+    def read(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Word numbers of all texts in a row, a 0 after each; where each begins; its words.
 
-        class Known(dict):
-            def __missing__(own, chunk: str) -> tuple[int, ...]:  # noqa: N805
-                if len(own) > 300_000:
-                    own.clear()
-                own[chunk] = got = tuple(words.get(w, 0) for w in words_of(chunk))
-                return got
-
-        known = Known()
-        return lambda text: np.fromiter(chain.from_iterable(map(known.__getitem__, (text or "").split(" "))), dtype=np.int32)
+        No window holds a 0, so none reaches from one text into the next.
+        """
+        words = [words_of(t) for t in texts]
+        n = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        flat = chain.from_iterable(chain(w, (b"",)) for w in words)
+        ids = np.fromiter(map(self.words.get, flat, repeat(0)), dtype=np.int32, count=int(n.sum()) + len(words))
+        return ids, np.cumsum(n + 1) - n - 1, n
 
     def seen(self, ids: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         """Positions in known of the shingles that ids hold, by length."""
@@ -161,12 +157,10 @@ def _search(docs: DataFrame, items: DataFrame, window: int, shingle: int) -> Dat
 
     def rarity(batches: Iterator[list[list]]) -> Iterator[list]:
         ix = shared.value
-        read = ix.reader()
         totals = {k: np.zeros(len(v), dtype=np.int64) for k, v in ix.known.items()}
         for (texts,) in batches:
-            for t in texts:
-                for k, at in ix.seen(read(t)):
-                    np.add.at(totals[k], at, 1)
+            for k, at in ix.seen(ix.read(texts)[0]):
+                totals[k] += np.bincount(at, minlength=len(totals[k]))
         out = [(k, i, n) for k, v in totals.items() for i, n in enumerate(v.tolist()) if n]
         yield [list(c) for c in zip(*out, strict=True)] if out else [[], [], []]
 
@@ -176,16 +170,16 @@ def _search(docs: DataFrame, items: DataFrame, window: int, shingle: int) -> Dat
 
     def probe(batches: Iterator[list[list]]) -> Iterator[list]:
         ix = ready.value
-        read = ix.reader()
         for ids_, rows, texts in batches:
-            out = [ids_, rows, [], [], []]
-            for t in texts:
-                ids = read(t)
-                starts, found = ix.find(ids)
-                out[2].append(len(ids))
-                out[3].append(_spans(starts, starts + ix.lengths[found]))
-                out[4].append(sorted({o for w in np.unique(found).tolist() for o in ix.owners[w]}))
-            yield out
+            ids, begins, n = ix.read(texts)
+            starts, found = ix.find(ids)
+            owner = np.searchsorted(begins, starts, side="right") - 1
+            spans, items = [[] for _ in texts], [[] for _ in texts]
+            for d in np.unique(owner).tolist():
+                at, win = starts[owner == d] - begins[d], found[owner == d]
+                spans[d] = _spans(at, at + ix.lengths[win])
+                items[d] = sorted({o for w in np.unique(win).tolist() for o in ix.owners[w]})
+            yield [ids_, rows, n.tolist(), spans, items]
 
     return map_columns(docs.select("row_id", "row", "text"), "row_id long, row binary, n_words long, spans array<int>, items array<string>", probe)
 

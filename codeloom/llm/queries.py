@@ -9,6 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from codeloom.llm.bpe import encode_documents
 from codeloom.llm.decontam import contamination
 from codeloom.llm.exact_dedup import exact_groups
+from codeloom.llm.html_text import extract_pages
+from codeloom.llm.idblocks import read_ids, write_ids
+from codeloom.llm.line_dedup import drop_repeated_lines
+from codeloom.llm.quality import score_quality
+from codeloom.llm.secrets import find_secrets
 from codeloom.llm.simhash import near_groups
 from codeloom.llm.toxicity import fit, score_documents
 
@@ -17,6 +22,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(_table(spark, sf_dir, "documents"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return score_documents(docs, fit(docs, _table(spark, sf_dir, "labels")))
@@ -28,25 +37,41 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(_table(spark, sf_dir, "documents"), vocab.path("byte_bpe_multi_50k.tiktoken"), vocab.PATTERN, with_ids=False)
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_secrets(_table(spark, sf_dir, "documents"))
+
+
+def op5_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as vocab
+
+    files = write_ids(_table(spark, sf_dir, "documents"), vocab.path("byte_bpe_50k.json"))
+    return read_ids(files, with_ids=False)
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_table(spark, sf_dir, "documents"), keep="max")
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drop_repeated_lines(_table(spark, sf_dir, "documents"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(_table(spark, sf_dir, "pages"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op2_toxicity": op2_toxicity,
-    "op3_bpe": op3_bpe,
-    "op6_exact_dedup": op6_exact_dedup,
-    "op8_decontamination": op8_decontamination,
-    "op10_simhash": op10_simhash,
+    f.__name__: f
+    for f in (op1_quality, op2_toxicity, op3_bpe, op4_secrets, op5_token_blocks, op6_exact_dedup, op7_line_dedup, op8_decontamination, op9_html_text, op10_simhash)
 }
 
 ORACLE: dict[str, str] = {
