@@ -68,6 +68,10 @@ LABELLED = [
     ((30, 0.00, 2, 1.0, 75, 0.0, 0, 0), 1),
     ((70, 0.20, 20, 0.0, 4, 1.0, 0, 0), 1),
     ((60, 0.00, 80, 0.0, 15, 1.0, 0, 0), 1),
+    ((45, 0.00, 80, 0.0, 3, 1.0, 0, 0), 1),
+    ((60, 0.00, 70, 0.0, 0, 0.0, 0, 0), 1),
+    ((20, 0.00, 60, 0.0, 1, 1.0, 0, 0), 1),
+    ((14, 0.00, 60, 0.0, 2, 1.0, 0, 0), 1),
     ((8, 0.00, 3, 1.0, 60, 0.0, 0, 0), 1),
     # menus, link lists and short stray lines without a container
     ((1, 1.00, 1, 1.0, 1, 1.0, 0, 0), 0),
@@ -91,7 +95,12 @@ LABELLED = [
     ((60, 0.00, 120, 0.0, 0, 0.0, 0, 1), 0),
     ((1, 1.00, 1, 1.0, 1, 1.0, 0, 1), 0),
     ((13, 0.00, 80, 0.0, 0, 0.0, 0, 1), 0),
+    ((150, 0.00, 90, 0.0, 0, 0.0, 0, 1), 0),
+    ((200, 0.00, 3, 1.0, 4, 0.0, 0, 1), 0),
+    ((80, 0.00, 2, 0.0, 2, 1.0, 0, 1), 0),
     # the same inside the article
+    ((100, 0.00, 40, 0.0, 5, 0.0, 1, 1), 0),
+    ((160, 0.00, 60, 0.0, 0, 0.0, 1, 1), 0),
     ((50, 0.00, 70, 0.0, 80, 0.0, 1, 1), 0),
     ((3, 0.00, 60, 0.0, 65, 0.0, 1, 1), 0),
     ((5, 1.00, 4, 1.0, 3, 1.0, 1, 1), 0),
