@@ -55,6 +55,10 @@ LABELLED = [
     ((3, 0.00, 5, 1.0, 20, 0.0, 1, 0), 1),
     ((60, 0.00, 6, 0.0, 10, 0.1, 1, 0), 1),
     ((1, 1.00, 1, 0.0, 1, 0.0, 1, 0), 1),
+    ((6, 0.00, 5, 0.0, 2, 0.0, 1, 0), 1),
+    ((3, 0.00, 9, 0.0, 0, 0.0, 1, 0), 1),
+    ((20, 0.00, 3, 0.0, 1, 0.0, 1, 0), 1),
+    ((1, 0.00, 0, 0.0, 0, 0.0, 1, 0), 1),
     ((50, 0.00, 60, 0.0, 12, 1.0, 1, 0), 1),
     ((8, 0.00, 60, 0.0, 20, 1.0, 1, 0), 1),
     ((2, 0.00, 9, 1.0, 15, 0.9, 1, 0), 1),
