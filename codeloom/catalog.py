@@ -4,16 +4,341 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from codeloom.functions import text as T
+from codeloom.operators import clones, lookup, resolve, reviews
+from codeloom.operators import graph as G
+from codeloom.plans.star import graph, with_graph
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_ORACLE: dict[str, str] = {}
+
+
+def _register(sql: str | None, over_graph: bool = True) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _ORACLE[f.__name__] = with_graph(sql) if over_graph else sql
+        return f
+
+    return add
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: A name the star tables always hold, for queries that ask for one name.
+NAME_SQL = "(SELECT min(p_name) FROM part)"
+
+
+def _name(spark: SparkSession, sf_dir: str) -> str:
+    return _table(spark, sf_dir, "part").agg(F.min("p_name")).first()[0]
+
+
+_CAND = """, rel AS (SELECT r.*, s.file_id AS from_file, f.language AS want FROM relations r JOIN symbols s ON s.symbol_id = r.from_symbol_id JOIN files f ON f.file_id = s.file_id WHERE NOT external),
+cand AS (SELECT rel.relation_id, t.symbol_id, t.file_id, t.line, t.col FROM rel JOIN symbols t ON t.name = rel.to_name JOIN files tf ON tf.file_id = t.file_id AND tf.language = rel.want
+  WHERE (rel.target_file IS NULL OR rel.target_file = t.file_id) AND (NOT rel.member OR t.kind = 'method') AND NOT (rel.kind = 'calls' AND t.kind = 'module')),
+n AS (SELECT relation_id, count(*) AS n_candidates, min(symbol_id) AS target_id FROM cand GROUP BY relation_id),
+hits AS (SELECT r.*, coalesce(n_candidates, 0) AS n_candidates, target_id,
+  CASE WHEN external THEN 'external' WHEN coalesce(n_candidates, 0) = 0 THEN 'unresolved' WHEN n_candidates = 1 AND NOT member THEN 'resolved' ELSE 'ambiguous' END AS resolution,
+  CASE WHEN external THEN 'syntax' WHEN coalesce(n_candidates, 0) = 0 THEN 'none' WHEN n_candidates = 1 AND NOT member THEN CASE WHEN target_file IS NOT NULL THEN 'declared' ELSE 'name' END
+       WHEN member THEN 'receiver' ELSE 'candidates' END AS evidence
+  FROM relations r LEFT JOIN n USING (relation_id)),
+edges AS (SELECT DISTINCT from_symbol_id AS src, target_id AS dst FROM hits WHERE resolution = 'resolved'),
+imports AS (SELECT DISTINCT a.file_id AS src_file, b.file_id AS dst_file FROM edges JOIN symbols a ON a.symbol_id = src JOIN symbols b ON b.symbol_id = dst WHERE a.file_id <> b.file_id) """
+
+
+def _hits(spark: SparkSession, sf_dir: str):
+    g = graph(spark, sf_dir)
+    found = resolve.candidates(g.relations, g.symbols, g.files)
+    return g, found, resolve.relation_hits(g.relations, found)
+
+
+def _edges(spark: SparkSession, sf_dir: str):
+    g, _, hits = _hits(spark, sf_dir)
+    return g, resolve.resolved_edges(hits)
+
+
+@_register(f"SELECT symbol_id, name, kind, relative_path, line FROM symbols JOIN files USING (file_id) WHERE name = {NAME_SQL}")
+def find_symbol_exact(spark, sf_dir):
+    g = graph(spark, sf_dir)
+    return lookup.find_symbol(lookup.located(g.symbols, g.files), _name(spark, sf_dir)).select("symbol_id", "name", "kind", "relative_path", "line")
+
+
+@_register("SELECT symbol_id, name FROM symbols WHERE len(list_filter(regexp_split_to_array(lower(name), '[^\\p{L}\\p{N}]+'), lambda w: starts_with(w, '00000001'))) > 0")
+def find_symbol_prefix(spark, sf_dir):
+    return lookup.find_symbol(graph(spark, sf_dir).symbols, "00000001", "prefix").select("symbol_id", "name")
+
+
+@_register("SELECT symbol_id, name, kind FROM symbols WHERE contains(lower(name), 'er#00000001')")
+def find_symbol_fuzzy(spark, sf_dir):
+    return lookup.find_symbol(graph(spark, sf_dir).symbols, "ER#00000001", "fuzzy").select("symbol_id", "name", "kind")
+
+
+@_register("SELECT symbol_id, kind, relative_path, line FROM symbols JOIN files USING (file_id) WHERE relative_path LIKE 'europe/%' AND kind = 'class'")
+def list_symbols_scoped(spark, sf_dir):
+    g = graph(spark, sf_dir)
+    hits = lookup.located(g.symbols, g.files).where(lookup.in_scope(F.col("relative_path"), "./Europe/") & (F.col("kind") == "class"))
+    return hits.select("symbol_id", "kind", "relative_path", "line")
+
+
+@_register("SELECT symbol_id, relative_path, line, col FROM symbols JOIN files USING (file_id) ORDER BY relative_path, line, col, symbol_id LIMIT 50 OFFSET 100")
+def symbols_page(spark, sf_dir):
+    g = graph(spark, sf_dir)
+    return lookup.page(lookup.located(g.symbols, g.files), ["relative_path", "line", "col", "symbol_id"], 50, 100).select("symbol_id", "relative_path", "line", "col")
+
+
+@_register("SELECT DISTINCT '' AS dir, split_part(relative_path, '/', 1) AS name, true AS is_dir, 0 AS omitted FROM files UNION ALL SELECT split_part(relative_path, '/', 1), split_part(relative_path, '/', 2), false, 0 FROM files")
+def file_tree(spark, sf_dir):
+    return lookup.file_tree(graph(spark, sf_dir).files).withColumn("omitted", F.col("omitted").cast("int"))
+
+
+@_register("SELECT symbol_id, name FROM symbols s WHERE NOT EXISTS (SELECT 1 FROM symbols p WHERE p.file_id = s.file_id AND p.name = s.parent)")
+def file_skeleton(spark, sf_dir):
+    return lookup.skeleton(graph(spark, sf_dir).symbols).select("symbol_id", "name")
+
+
+@_register(_CAND + "SELECT relation_id, symbol_id FROM cand")
+def relation_candidates(spark, sf_dir):
+    return _hits(spark, sf_dir)[1].select("relation_id", "symbol_id")
+
+
+@_register(_CAND + "SELECT relation_id, kind, to_name, n_candidates, target_id, resolution, evidence FROM hits")
+def relation_resolution(spark, sf_dir):
+    return _hits(spark, sf_dir)[2].select("relation_id", "kind", "to_name", "n_candidates", "target_id", "resolution", "evidence")
+
+
+@_register(_CAND + "SELECT relation_id, symbol_id, rank FROM (SELECT relation_id, symbol_id, row_number() OVER (PARTITION BY relation_id ORDER BY relative_path, line, symbol_id) AS rank FROM cand JOIN files USING (file_id)) WHERE rank <= 3")
+def candidate_preview(spark, sf_dir):
+    g, found, _ = _hits(spark, sf_dir)
+    return resolve.preview(found, g.files).select("relation_id", "symbol_id", F.col("rank").cast("long").alias("rank"))
+
+
+@_register(_CAND + f"SELECT relation_id, from_symbol_id, resolution, evidence FROM hits WHERE kind = 'calls' AND to_name = {NAME_SQL}")
+def find_callers(spark, sf_dir):
+    hits = _hits(spark, sf_dir)[2]
+    return hits.where((F.col("kind") == "calls") & (F.col("to_name") == _name(spark, sf_dir))).select("relation_id", "from_symbol_id", "resolution", "evidence")
+
+
+@_register(_CAND + f"SELECT relation_id, from_symbol_id, kind, resolution FROM hits WHERE to_name = {NAME_SQL} ORDER BY relation_id LIMIT 50")
+def find_references_page(spark, sf_dir):
+    hits = _hits(spark, sf_dir)[2].where(F.col("to_name") == _name(spark, sf_dir))
+    return lookup.page(hits, ["relation_id"], 50).select("relation_id", "from_symbol_id", "kind", "resolution")
+
+
+@_register(_CAND + "SELECT relation_id, to_name, target_id FROM hits JOIN symbols ON symbol_id = from_symbol_id WHERE name = 'order_7' AND hits.kind = 'calls'")
+def find_calls(spark, sf_dir):
+    g, _, hits = _hits(spark, sf_dir)
+    own = g.symbols.where("name = 'order_7'").select(F.col("symbol_id").alias("from_symbol_id"))
+    return hits.where("kind = 'calls'").join(own, "from_symbol_id").select("relation_id", "to_name", "target_id")
+
+
+@_register(_CAND + "SELECT relation_id, to_name, hits.kind FROM hits JOIN symbols ON symbol_id = from_symbol_id WHERE name = 'order_7' AND hits.kind <> 'calls'")
+def find_dependencies(spark, sf_dir):
+    g, _, hits = _hits(spark, sf_dir)
+    own = g.symbols.where("name = 'order_7'").select(F.col("symbol_id").alias("from_symbol_id"))
+    return hits.where("kind <> 'calls'").join(own, "from_symbol_id").select("relation_id", "to_name", "kind")
+
+
+_START = "(SELECT symbol_id FROM symbols WHERE name IN ('order_3', 'order_6', 'order_9', 'order_12', 'order_30'))"
+
+
+@_register(_CAND + f", w(node, depth) AS (SELECT symbol_id, 0 FROM symbols WHERE symbol_id IN {_START} UNION SELECT dst, depth + 1 FROM w JOIN edges ON src = node WHERE depth < 4) SELECT node, min(depth) AS depth FROM w GROUP BY node")
+def calls_walk(spark, sf_dir):
+    g, edges = _edges(spark, sf_dir)
+    return G.walk(edges, g.symbols.where(F.col("name").isin(*[f"order_{i}" for i in (3, 6, 9, 12, 30)])).select(F.col("symbol_id").alias("node")), 4)
+
+
+@_register(_CAND + f", w(node, depth) AS (SELECT symbol_id, 0 FROM symbols WHERE symbol_id IN {_START} UNION SELECT src, depth + 1 FROM w JOIN edges ON dst = node WHERE depth < 4) SELECT node, min(depth) AS depth FROM w GROUP BY node")
+def impact_walk(spark, sf_dir):
+    g, edges = _edges(spark, sf_dir)
+    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    return G.walk(back, g.symbols.where(F.col("name").isin(*[f"order_{i}" for i in (3, 6, 9, 12, 30)])).select(F.col("symbol_id").alias("node")), 4)
+
+
+@_register(_CAND + "SELECT * FROM imports")
+def direct_file_imports(spark, sf_dir):
+    g, edges = _edges(spark, sf_dir)
+    return resolve.file_imports(edges, g.symbols)
+
+
+@_register(_CAND + ", c(a, b) AS (SELECT src_file, dst_file FROM imports UNION SELECT a, dst_file FROM c JOIN imports ON src_file = b) SELECT min(y.a) AS component, x.a AS node FROM c x JOIN c y ON x.a = y.b AND x.b = y.a GROUP BY x.a")
+def find_cycles(spark, sf_dir):
+    g, edges = _edges(spark, sf_dir)
+    return G.cycles(resolve.file_imports(edges, g.symbols).select(F.col("src_file").alias("src"), F.col("dst_file").alias("dst")))
+
+
+@_register(_CAND + "SELECT split_part(a.relative_path, '/', 1) AS src_dir, split_part(b.relative_path, '/', 1) AS dst_dir, count(*) AS weight FROM imports JOIN files a ON a.file_id = src_file JOIN files b ON b.file_id = dst_file GROUP BY 1, 2")
+def module_graph(spark, sf_dir):
+    g, edges = _edges(spark, sf_dir)
+    d = g.files.select("file_id", F.split("relative_path", "/")[0].alias("dir"))
+    imports = resolve.file_imports(edges, g.symbols)
+    a, b = d.toDF("src_file", "src_dir"), d.toDF("dst_file", "dst_dir")
+    return imports.join(a, "src_file").join(b, "dst_file").groupBy("src_dir", "dst_dir").agg(F.count("*").alias("weight"))
+
+
+@_register("SELECT to_name, count(*) AS fan_in FROM relations WHERE kind = 'calls' GROUP BY to_name")
+def fan_in_counts(spark, sf_dir):
+    return graph(spark, sf_dir).relations.where("kind = 'calls'").groupBy("to_name").agg(F.count("*").alias("fan_in"))
+
+
+@_register("SELECT to_name, count(*) AS n FROM relations GROUP BY to_name")
+def reference_counts(spark, sf_dir):
+    return graph(spark, sf_dir).relations.groupBy("to_name").agg(F.count("*").alias("n"))
+
+
+@_register("SELECT language, count(DISTINCT files.file_id) AS n_files, count(symbol_id) AS n_symbols FROM files LEFT JOIN symbols USING (file_id) GROUP BY language")
+def language_coverage(spark, sf_dir):
+    g = graph(spark, sf_dir)
+    return g.files.join(g.symbols, "file_id", "left").groupBy("language").agg(F.countDistinct("file_id").alias("n_files"), F.count("symbol_id").alias("n_symbols"))
+
+
+@_register(
+    _CAND
+    + """, names AS (SELECT name, count(*) AS n FROM symbols GROUP BY name),
+used AS (SELECT s.symbol_id FROM symbols s JOIN names USING (name) JOIN relations r ON r.to_name = s.name WHERE n = 1 AND NOT external AND from_symbol_id <> s.symbol_id
+  UNION SELECT cand.symbol_id FROM cand JOIN symbols s USING (symbol_id) JOIN names USING (name) WHERE n > 1)
+SELECT symbol_id, name, kind FROM symbols WHERE kind IN ('function', 'method', 'class') AND name <> 'main' AND symbol_id NOT IN (SELECT symbol_id FROM used)"""
+)
+def find_dead_code(spark, sf_dir):
+    g, found, _ = _hits(spark, sf_dir)
+    return resolve.dead_symbols(g.symbols, g.relations, found).select("symbol_id", "name", "kind")
+
+
+@_register(
+    """, fan AS (SELECT to_name, count(*) AS n FROM relations WHERE kind = 'calls' GROUP BY to_name),
+r AS (SELECT relative_path, symbol_id, name, coalesce(n, 0) AS fan_in, row_number() OVER (PARTITION BY relative_path ORDER BY coalesce(n, 0) DESC, line, symbol_id) AS rank FROM symbols JOIN files USING (file_id) LEFT JOIN fan ON to_name = name)
+SELECT * FROM r WHERE rank <= 8"""
+)
+def project_overview(spark, sf_dir):
+    g = graph(spark, sf_dir)
+    fan = g.relations.where("kind = 'calls'").groupBy(F.col("to_name").alias("name")).agg(F.count("*").alias("fan_in"))
+    s = lookup.located(g.symbols, g.files).join(fan, "name", "left").withColumn("fan_in", F.coalesce("fan_in", F.lit(0).cast("long")))
+    w = Window.partitionBy("relative_path").orderBy(F.col("fan_in").desc(), "line", "symbol_id")
+    return s.withColumn("rank", F.row_number().over(w).cast("long")).where("rank <= 8").select("relative_path", "symbol_id", "name", "fan_in", "rank")
+
+
+@_register("SELECT symbol_id, array_to_string(list_filter(regexp_split_to_array(lower(regexp_replace(regexp_replace(name, '([\\p{Ll}\\p{N}])(\\p{Lu})', '\\1 \\2', 'g'), '(\\p{Lu})(\\p{Lu}\\p{Ll})', '\\1 \\2', 'g')), '[^\\p{L}\\p{N}]+'), lambda w: w <> ''), ' ') AS words FROM symbols")
+def split_identifiers(spark, sf_dir):
+    return graph(spark, sf_dir).symbols.select("symbol_id", F.array_join(T.split_identifier(F.col("name")), " ").alias("words"))
+
+
+def _bm25_sql(terms: list[str]) -> str:
+    f = ", ".join(f"len(list_filter(w, lambda x: x = '{t}')) AS f{i}" for i, t in enumerate(terms))
+    idf = ", ".join(f"ln((n - sum((f{i} > 0)::INT) + 0.5) / (sum((f{i} > 0)::INT) + 0.5)) AS i{i}" for i in range(len(terms)))
+    part = " + ".join(f"(CASE WHEN i{i} > 0 THEN i{i} ELSE 1e-6 END) * f{i} * 2.2 / (f{i} + 1.2 * (0.25 + 0.75 * d / mean))" for i in range(len(terms)))
+    some = " OR ".join(f"f{i} > 0" for i in range(len(terms)))
+    return f"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w FROM documents),
+    c AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM w), f AS (SELECT doc_id, len(w) AS d, {f} FROM w), i AS (SELECT {idf} FROM f, c GROUP BY n)
+    SELECT doc_id, round(-({part}), 6) AS score FROM f, c, i WHERE {some}"""
+
+
+TERMS = ["license", "trash", "public", "password"]
+
+
+@_register(_bm25_sql(TERMS), over_graph=False)
+def bm25_documents(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    words = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    return T.bm25(docs, "doc_id", words, TERMS).select("doc_id", F.round("score", 6).alias("score"))
+
+
+@_register("SELECT doc_id, source FROM documents WHERE contains(lower(text), 'all rights reserved')", over_graph=False)
+def phrase_search(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").where(F.lower("text").contains("all rights reserved")).select("doc_id", "source")
+
+
+_COS = "WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = (SELECT min(vec_id) FROM embeddings)), s AS (SELECT vec_id, label, list_dot_product(embedding::DOUBLE[], e::DOUBLE[]) / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) * list_dot_product(e::DOUBLE[], e::DOUBLE[])) AS c FROM embeddings, q) "
+
+
+def _similar(spark, sf_dir):
+    e = _table(spark, sf_dir, "embeddings")
+    query = e.orderBy("vec_id").select("embedding").first()[0]
+    return e.withColumn("c", T.cosine(F.col("embedding"), F.lit(query)))
+
+
+@_register(_COS + "SELECT vec_id, label, round(c, 6) AS similarity FROM s ORDER BY c DESC, vec_id LIMIT 20", over_graph=False)
+def semantic_top_k(spark, sf_dir):
+    return _similar(spark, sf_dir).orderBy(F.col("c").desc(), "vec_id").limit(20).select("vec_id", "label", F.round("c", 6).alias("similarity"))
+
+
+@_register(
+    _COS
+    + ", a AS (SELECT vec_id, row_number() OVER (ORDER BY c DESC, vec_id) AS r FROM s QUALIFY r <= 200), b AS (SELECT vec_id, row_number() OVER (ORDER BY label, vec_id) AS r FROM embeddings QUALIFY r <= 200) "
+    "SELECT vec_id, round(coalesce(0.5 / (10 + b.r), 0) + coalesce(0.5 / (10 + a.r), 0), 9) AS score FROM a FULL JOIN b USING (vec_id)",
+    over_graph=False,
+)
+def hybrid_fusion(spark, sf_dir):
+    e = _similar(spark, sf_dir)
+    # windows over 200 rows only: each list is cut first
+    rank = lambda df, *o: df.orderBy(*o).limit(200).withColumn("rank", F.row_number().over(Window.orderBy(*o))).select("vec_id", "rank")
+    return T.reciprocal_ranks(rank(e, "label", "vec_id"), rank(e, F.col("c").desc(), "vec_id"), "vec_id", 0.5).select("vec_id", F.round("score", 9).alias("score"))
+
+
+@_register("SELECT sha1('blob ' || strlen(text) || chr(0) || text) AS blob_id, count(*) AS n FROM documents GROUP BY 1", over_graph=False)
+def git_blob_ids(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").groupBy(T.git_blob_hash(F.col("text")).alias("blob_id")).agg(F.count("*").alias("n"))
+
+
+@_register("SELECT doc_id, (list_sum(list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda x: (length(x) + 3) // 4)) + length(regexp_replace(text, '[A-Za-z0-9\\s]+', '', 'g')))::BIGINT AS tokens FROM documents", over_graph=False)
+def token_estimates(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", T.estimate_tokens(F.col("text")).alias("tokens"))
+
+
+@_register("SELECT count(*) AS members, min(doc_id) AS first FROM documents WHERE len(regexp_extract_all(text, '[\\p{L}_][\\p{L}\\p{N}_]*|\\p{N}+|[^\\s\\p{L}\\p{N}_]')) >= 40 GROUP BY array_to_string(regexp_extract_all(text, '[\\p{L}_][\\p{L}\\p{N}_]*|\\p{N}+|[^\\s\\p{L}\\p{N}_]'), chr(31)) HAVING count(*) > 1", over_graph=False)
+def clone_groups_exact(spark, sf_dir):
+    return clones.clone_groups(_table(spark, sf_dir, "documents"), "doc_id", "text").select("members", "first")
+
+
+@_register("SELECT count(*) AS members, min(doc_id) AS first FROM documents WHERE len(regexp_extract_all(text, '[\\p{L}_][\\p{L}\\p{N}_]*|\\p{N}+|[^\\s\\p{L}\\p{N}_]')) >= 40 GROUP BY array_to_string(list_transform(regexp_extract_all(text, '[\\p{L}_][\\p{L}\\p{N}_]*|\\p{N}+|[^\\s\\p{L}\\p{N}_]'), lambda x: CASE WHEN regexp_matches(x, '^[\\p{L}_]') THEN 'I' WHEN regexp_matches(x, '^\\p{N}') THEN 'L' ELSE x END), chr(31)) HAVING count(*) > 1", over_graph=False)
+def clone_groups_broad(spark, sf_dir):
+    return clones.clone_groups(_table(spark, sf_dir, "documents"), "doc_id", "text", "broad").select("members", "first")
+
+
+@_register("SELECT lang, source, count(*) AS n FROM documents GROUP BY lang, source", over_graph=False)
+def document_facets(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").groupBy("lang", "source").agg(F.count("*").alias("n"))
+
+
+_STATES = "CASE event_type WHEN 'click' THEN 'open' WHEN 'error' THEN 'false-positive' WHEN 'purchase' THEN 'accepted' WHEN 'signup' THEN 'dismissed' ELSE 'reviewed' END"
+
+
+@_register(
+    f"SELECT identity, state, state IN ('false-positive', 'dismissed') AS suppressed FROM (SELECT user_id AS identity, {_STATES} AS state, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, ({_STATES}) IN ('false-positive', 'dismissed'), {_STATES}) AS k FROM events) WHERE k = 1",
+    over_graph=False,
+)
+def review_decisions(spark, sf_dir):
+    e = _table(spark, sf_dir, "events").select(F.col("user_id").alias("identity"), F.col("ts").alias("at"), F.expr(_STATES).alias("state"))
+    return reviews.latest_decisions(e).select("identity", "state", "suppressed")
+
+
+@_register(
+    """WITH g AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER w IS NULL OR epoch_us(ts) - epoch_us(lag(ts) OVER w) >= 3600000000 THEN 1 ELSE 0 END AS f FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+    b AS (SELECT user_id, ts, sum(f) OVER (PARTITION BY user_id ORDER BY ts) AS b FROM g) SELECT user_id, epoch_us(min(ts)) AS began, epoch_us(max(ts)) AS ended, count(*) AS n FROM b GROUP BY user_id, b""",
+    over_graph=False,
+)
+def debounced_batches(spark, sf_dir):
+    out = reviews.debounced(_table(spark, sf_dir, "events"), "user_id", "ts", 3600)
+    return out.select("user_id", F.unix_micros("began").alias("began"), F.unix_micros("ended").alias("ended"), "n")
+
+
+@_register("SELECT name, kind, sum(v)::BIGINT AS net FROM (SELECT name, kind, 1 AS v FROM symbols WHERE symbol_id % 3 <> 0 UNION ALL SELECT name, kind, -1 FROM symbols WHERE symbol_id % 3 <> 1) GROUP BY name, kind HAVING sum(v) <> 0")
+def net_symbol_diff(spark, sf_dir):
+    s = graph(spark, sf_dir).symbols
+    return reviews.net_changes(s.where("symbol_id % 3 <> 1"), s.where("symbol_id % 3 <> 0"), ["name", "kind"])
 
 
 def entry(spark: SparkSession) -> DataFrame:
-    return spark.read.parquet("/root/testdata/sf0.001/part.parquet").groupBy("p_name").count()
+    return relation_resolution(spark, "/root/testdata/sf0.001")
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_ORACLE)
