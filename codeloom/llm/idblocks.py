@@ -140,6 +140,15 @@ def from_bytes(data: bytes) -> tuple[list[int | None], list[np.ndarray]]:
     return [None if n else d for d, n in zip(names, null, strict=True)], np.split(ids, np.cumsum(lengths)[:-1]) if docs else []
 
 
+def _alphabet() -> list[str]:
+    """The character that stands for each byte: itself if printable, else the next from 256 on."""
+    printable = [33 <= b <= 126 or 161 <= b <= 172 or 174 <= b for b in range(256)]
+    return [chr(b if printable[b] else 256 + sum(not p for p in printable[:b])) for b in range(256)]
+
+
+_ALPHABET = _alphabet()
+
+
 class Encoder:
     """The tokenizers library's encoding, with pieces remembered.
 
@@ -157,7 +166,8 @@ class Encoder:
         parsed = json.loads(spec)
         pre = parsed.get("pre_tokenizer") or {}
         self.pieces = parsed.get("normalizer") is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
-        whole = self._whole
+        whole, letters = self._whole, self._letters
+        self.model = self.tokenizer.model
 
         class Known(dict):
             def __missing__(own, piece: str) -> bytes:  # noqa: N805
@@ -174,13 +184,18 @@ class Encoder:
                 if core and core != word and core[-1].isalnum():
                     got = own[core] + plain[word[len(core) :]]
                 else:
-                    got = whole(" " + word).tobytes()
+                    got = (letters(word) if word.isalpha() else whole(" " + word)).tobytes()
                 own[word] = got
                 return got
 
         self.plain = plain = Known()
         self.spaced = Spaced()
 
+    def _letters(self, word: str) -> np.ndarray:
+        """A space and letters are one match, which the model takes in its byte alphabet."""
+        mapped = word if word.isascii() else "".join(map(_ALPHABET.__getitem__, word.encode()))
+        return np.array([t.id for t in self.model.tokenize(_ALPHABET[32] + mapped)], dtype="<u4")
+
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
