@@ -16,9 +16,12 @@ little-endian. Any block can be read alone through the index.
 from __future__ import annotations
 
 import json
+import re
 import struct
+import sys
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -147,6 +150,8 @@ def _alphabet() -> list[str]:
 
 
 _ALPHABET = _alphabet()
+#: White space that is no single space or line feed between visible characters.
+_ODD_SPACE = re.compile(r"\s\s|\A\s|\s\Z|[^\S \n]")
 
 
 class Encoder:
@@ -184,17 +189,20 @@ class Encoder:
                 if core and core != word and core[-1].isalnum():
                     got = own[core] + plain[word[len(core) :]]
                 else:
-                    got = (letters(word) if word.isalpha() else whole(" " + word)).tobytes()
+                    got = letters(word) if word.isalpha() else whole(" " + word).tobytes()
                 own[word] = got
                 return got
 
         self.plain = plain = Known()
         self.spaced = Spaced()
 
-    def _letters(self, word: str) -> np.ndarray:
+    def _letters(self, word: str) -> bytes:
         """A space and letters are one match, which the model takes in its byte alphabet."""
         mapped = word if word.isascii() else "".join(map(_ALPHABET.__getitem__, word.encode()))
-        return np.array([t.id for t in self.model.tokenize(_ALPHABET[32] + mapped)], dtype="<u4")
+        ids = array("I", [t.id for t in self.model.tokenize(_ALPHABET[32] + mapped)])
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
 
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
@@ -204,14 +212,11 @@ class Encoder:
         end = np.array([END], dtype="<u4")
         if not text:
             return end
-        lines = text.split("\n")
-        if not self.pieces or any(not x or x[0].isspace() or x[-1].isspace() for x in lines):
+        if not self.pieces or _ODD_SPACE.search(text):
             return np.concatenate((self._whole(text), end))
         parts = []
-        for i, line in enumerate(lines):
+        for i, line in enumerate(text.split("\n")):
             first, *rest = line.split(" ")
-            if any(not w or w[0].isspace() or w[-1].isspace() for w in rest if not w.isalnum()):
-                return np.concatenate((self._whole(text), end))
             if i:
                 parts.append(self.plain["\n"])
             parts.append(self.plain[first])
