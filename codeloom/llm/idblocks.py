@@ -16,7 +16,6 @@ little-endian. Any block can be read alone through the index.
 from __future__ import annotations
 
 import json
-import re
 import struct
 import sys
 import uuid
@@ -150,8 +149,6 @@ def _alphabet() -> list[str]:
 
 
 _ALPHABET = _alphabet()
-#: White space that is no single space or line feed between visible characters.
-_ODD_SPACE = re.compile(r"\s\s|\A\s|\s\Z|[^\S \n]")
 
 
 class Encoder:
@@ -212,16 +209,19 @@ class Encoder:
         end = np.array([END], dtype="<u4")
         if not text:
             return end
-        if not self.pieces or _ODD_SPACE.search(text):
+        words = text.split()
+        gaps = len(words) - 1
+        # other white space, at the ends or in runs, leaves more characters between the words
+        if not self.pieces or text.count(" ") + text.count("\n") != gaps or len(text) - sum(map(len, words)) != gaps:
             return np.concatenate((self._whole(text), end))
-        parts = []
-        for i, line in enumerate(text.split("\n")):
-            first, *rest = line.split(" ")
-            if i:
-                parts.append(self.plain["\n"])
-            parts.append(self.plain[first])
-            parts.extend(map(self.spaced.__getitem__, rest))
-        return np.frombuffer(b"".join((*parts, end.tobytes())), dtype="<u4")
+        parts = list(map(self.spaced.__getitem__, words))
+        parts[0] = self.plain[words[0]]
+        at, feed = 0, "\n" in text and self.plain["\n"]
+        for line in text.split("\n")[:-1]:
+            at += line.count(" ") + 1
+            parts[at] = feed + self.plain[words[at]]
+        parts.append(end.tobytes())
+        return np.frombuffer(b"".join(parts), dtype="<u4")
 
 
 _encoders: dict[int, Encoder] = {}
