@@ -34,6 +34,8 @@ from codeloom.runtime import new_path, prepare, stage
 MAGIC = b"PFOR1\0\0\0"
 #: Values of a block (a multiple of 64), the percentile its width holds, ids of a file about.
 BLOCK, PERCENTILE, FILE_IDS = 1024, 90, 2_000_000
+#: Files that one task reads back about, and tasks at most (each then reads more files, one at a time).
+FILES_A_TASK, READ_TASKS = 8, 20_000
 #: Id appended to every document.
 END = 0
 _HEAD = struct.Struct("<8sIIQIQ")
@@ -298,4 +300,6 @@ def read_ids(files: DataFrame, id_col: str = "doc_id", with_ids: bool = True) ->
                 yield [*out, [d.astype(np.int32) for d in documents]] if with_ids else out
 
     schema = f"`{id_col}` long, start long, n_tokens long, ids_crc32 long" + ", token_ids array<int>" * with_ids
-    return map_columns(files.select("path", "start", "root").repartition("path"), schema, run)
+    # a number of one's own keeps the tasks apart: the few bytes of paths stand for large files
+    tasks = min(READ_TASKS, max(1, files.count() // FILES_A_TASK))
+    return map_columns(files.select("path", "start", "root").repartition(tasks, "path"), schema, run)
