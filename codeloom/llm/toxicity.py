@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.llm.common import map_columns
-from codeloom.runtime import prepare
+from codeloom.runtime import prepare, stage
 
 # Terms for groups of people, by language; terms of a list are swapped for each other.
 IDENTITY_TERMS = [
@@ -110,9 +110,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Learns from the labelled rows that learnable() allows.
 
     Rows without id, text or label teach nothing; of repeated labels of an id the larger
-    counts. Without rows of both labels the model gives every text the share of label 1
-    (0 with no rows). At most sample rows are learnt from; the vocabulary, not texts, goes
-    to the driver.
+    counts, of an id's rows the smallest text. Without rows of both labels the model gives
+    every text the share of label 1 (0 with no rows). At most sample rows are learnt from;
+    the vocabulary, not texts, goes to the driver.
     """
     spark = prepare(docs.sparkSession)
     marks = labels.select(F.col(id_col).cast("long").alias("__i"), F.col(label_col).cast("int").alias("y")).dropna()
@@ -122,7 +122,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if not ids:
         return Model({}, -50.0)
     chosen = F.broadcast(spark.createDataFrame(list(ids.items()), "__i long, y int"))
-    taught = docs.select(F.col(id_col).cast("long").alias("__i"), F.col(text_col).alias("t")).join(chosen, "__i").select("y", "t").dropna()
+    taught = docs.select(F.col(id_col).cast("long").alias("__i"), F.col(text_col).alias("t")).join(chosen, "__i").dropna()
+    taught = stage(taught.groupBy("__i").agg(F.max("y").alias("y"), F.min("t").alias("t")).select("y", "t"), "taught")
 
     def count(batches: Iterator[list[list]]) -> Iterator[list]:
         n = (Counter(), Counter())

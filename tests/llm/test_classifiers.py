@@ -1,4 +1,5 @@
 import random
+import zlib
 
 from pyspark.sql import functions as F
 
@@ -91,3 +92,12 @@ def test_quality_hard_rows(hard, empty):
     got = Q.score_quality(hard).collect()
     assert len(got) == hard.count() and all(0 <= r.score <= 1 and 0 <= r.posterior <= 1 for r in got)
     assert Q.score_quality(empty).count() == 0
+
+
+def test_toxicity_learns_from_one_row_of_an_id(spark):
+    ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 4 != 2]
+    docs = [(i, "you vile scum" if i % 2 else "a calm day") for i in ids]
+    labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, toxic int")
+    fit = lambda rows: T.fit(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    once, often = fit(docs), fit(docs + [(ids[0], docs[0][1])] * 50 + [(ids[0], "zzz later text")])
+    assert once.weights == often.weights and once.bias == often.bias
