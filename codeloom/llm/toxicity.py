@@ -140,7 +140,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 n = (Counter(), Counter())
         yield out()
 
-    counts = map_columns(taught, "f string, n0 long, n1 long", count).groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    counts = stage(map_columns(taught, "f string, n0 long, n1 long", count).groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "word-counts")
     total = counts.where("f = ''").first()
     n0, n1 = (total["n0"], total["n1"]) if total else (0, 0)
     if not n0 or not n1:
