@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions import text as T
-from codeloom.operators import clones, lookup, resolve, reviews
+from codeloom.operators import clones, dashboard, lookup, resolve, reviews
 from codeloom.operators import graph as G
 from codeloom.plans.star import graph, with_graph
+from codeloom.sources import tree
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -332,6 +333,124 @@ def net_symbol_diff(spark, sf_dir):
     return reviews.net_changes(s.where("symbol_id % 3 <> 1"), s.where("symbol_id % 3 <> 0"), ["name", "kind"])
 
 
+@_register(
+    """WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id) AS k FROM events),
+    q AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS p, count(*) OVER (PARTITION BY event_type) AS n FROM r WHERE k <= 500)
+    SELECT event_type, n, max(CASE WHEN p = ceil(n * 50 / 100.0) THEN value END) AS p50, max(CASE WHEN p = ceil(n * 95 / 100.0) THEN value END) AS p95 FROM q GROUP BY event_type, n""",
+    over_graph=False,
+)
+def latency_percentiles(spark, sf_dir):
+    return dashboard.nearest_rank(_table(spark, sf_dir, "events"), "event_type", "value", [F.col("ts").desc(), F.col("event_id")], [50, 95])
+
+
+@_register(
+    """, s AS (SELECT kind, language, count(*) AS n FROM symbols JOIN files USING (file_id) GROUP BY kind, language)
+SELECT 'kind' AS facet, kind AS value, sum(n)::BIGINT AS n FROM s WHERE language IN ('asia', 'europe') GROUP BY kind
+UNION ALL SELECT 'language', language, sum(n)::BIGINT FROM s WHERE kind IN ('function', 'class') GROUP BY language"""
+)
+def symbol_facets(spark, sf_dir):
+    g = graph(spark, sf_dir)
+    return dashboard.facets(lookup.located(g.symbols, g.files), {"kind": ["function", "class"], "language": ["asia", "europe"]})
+
+
+@_register(
+    """, s AS (SELECT symbol_id, relative_path, line, (strlen(relative_path) + strlen(name) + 2)::BIGINT AS bytes FROM symbols JOIN files USING (file_id)),
+t AS (SELECT *, sum(bytes) OVER (ORDER BY relative_path, line, symbol_id ROWS UNBOUNDED PRECEDING)::BIGINT AS total_bytes FROM s) SELECT symbol_id, bytes, total_bytes FROM t WHERE total_bytes <= 24000"""
+)
+def byte_budget_page(spark, sf_dir):
+    g = graph(spark, sf_dir)
+    size = F.octet_length("relative_path") + F.octet_length("name") + 2
+    return dashboard.within_bytes(lookup.located(g.symbols, g.files), ["relative_path", "line", "symbol_id"], size).select("symbol_id", "bytes", "total_bytes")
+
+
+@_register("SELECT symbol_id, sha256(strlen(kind) || ':' || kind || strlen(relative_path) || ':' || relative_path || strlen(name) || ':' || name) AS finding FROM symbols JOIN files USING (file_id)")
+def finding_keys(spark, sf_dir):
+    g = graph(spark, sf_dir)
+    return lookup.located(g.symbols, g.files).select("symbol_id", dashboard.finding_key(F.col("kind"), F.col("relative_path"), F.col("name")).alias("finding"))
+
+
+@_register(
+    """, c AS (SELECT from_symbol_id, to_name, min(line) AS line FROM relations WHERE kind = 'calls' GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY from_symbol_id ORDER BY line, to_name) AS k FROM c)
+SELECT from_symbol_id, string_agg(to_name, ', ' ORDER BY k) AS callees FROM r WHERE k <= 8 GROUP BY from_symbol_id"""
+)
+def distinct_callees(spark, sf_dir):
+    return dashboard.first_callees(graph(spark, sf_dir).relations)
+
+
+@_register(
+    """, n AS (SELECT count(*) AS n_files FROM files), s AS (SELECT count(*) AS n_symbols FROM symbols),
+r AS (SELECT count(*) AS n_relations, count(*) FILTER (WHERE external) AS n_external FROM relations) SELECT * FROM n, s, r"""
+)
+def index_status(spark, sf_dir):
+    g = graph(spark, sf_dir)
+    parts = [
+        g.files.select(F.lit("f").alias("t"), F.lit(False).alias("external")),
+        g.symbols.select(F.lit("s"), F.lit(False)),
+        g.relations.select(F.lit("r"), "external"),
+    ]
+    every = parts[0].union(parts[1]).union(parts[2])
+    return every.agg(
+        F.count_if(F.col("t") == "f").alias("n_files"), F.count_if(F.col("t") == "s").alias("n_symbols"), F.count_if(F.col("t") == "r").alias("n_relations"), F.count_if("external").alias("n_external")
+    )
+
+
+@_register("SELECT doc_id, source FROM documents WHERE NOT EXISTS (SELECT 1 FROM embeddings WHERE vec_id = doc_id)", over_graph=False)
+def pending_embeddings(spark, sf_dir):
+    have = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"))
+    return _table(spark, sf_dir, "documents").join(have, "doc_id", "left_anti").select("doc_id", "source")
+
+
+@_register(
+    """, e AS (SELECT event_id, user_id % 25 AS file_id, event_id % 1000 + 1 AS line FROM events),
+c AS (SELECT event_id, symbol_id, row_number() OVER (PARTITION BY event_id ORDER BY s.line DESC, symbol_id DESC) AS k FROM e JOIN symbols s ON s.file_id = e.file_id AND e.line BETWEEN s.line AND s.line + 3 WHERE s.kind = 'function')
+SELECT e.event_id AS place_id, symbol_id FROM e LEFT JOIN c ON c.event_id = e.event_id AND k = 1"""
+)
+def enclosing_symbols(spark, sf_dir):
+    places = _table(spark, sf_dir, "events").select(F.col("event_id").alias("place_id"), (F.col("user_id") % 25).alias("file_id"), (F.col("event_id") % 1000 + 1).alias("line"))
+    spans = graph(spark, sf_dir).symbols.where("kind = 'function'").withColumn("end_line", F.col("line") + 3)
+    return tree.enclosing(places, spans).select("place_id", "symbol_id")
+
+
+_VERSIONS = "SELECT doc_id || '.txt' AS relative_path, md5(text) AS content_hash FROM documents WHERE doc_id % 3 <>"
+
+
+def _versions(spark, sf_dir):
+    d = _table(spark, sf_dir, "documents").select("doc_id", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("relative_path"), F.md5("text").alias("content_hash"))
+    return [d.where(F.col("doc_id") % 3 != r).drop("doc_id") for r in (1, 0)]
+
+
+@_register(
+    f"WITH b AS ({_VERSIONS} 1), a AS ({_VERSIONS} 0) SELECT relative_path, content_hash FROM b WHERE relative_path NOT IN (SELECT relative_path FROM a) "
+    "AND content_hash IN (SELECT content_hash FROM a WHERE relative_path NOT IN (SELECT relative_path FROM b))",
+    over_graph=False,
+)
+def renamed_files(spark, sf_dir):
+    before, after = _versions(spark, sf_dir)
+    return tree.renamed_away(before, after).select("relative_path", "content_hash")
+
+
+@_register(f"WITH b AS ({_VERSIONS} 1), a AS ({_VERSIONS} 0) SELECT relative_path, content_hash FROM a EXCEPT SELECT relative_path, content_hash FROM b", over_graph=False)
+def changed_files(spark, sf_dir):
+    before, after = _versions(spark, sf_dir)
+    return tree.changed_files(after, before).select("relative_path", "content_hash")
+
+
+@_register(
+    """WITH h AS (SELECT page_id, regexp_extract_all(html, 'href="(/[^"?#]*)', 1) AS l FROM pages),
+u AS (SELECT DISTINCT page_id AS user_id, unnest(l[2:]) AS value FROM h),
+d AS (SELECT l[1] AS value, count(DISTINCT page_id) AS n_declarers, min(page_id) AS declarer_id FROM h WHERE len(l) > 0 GROUP BY l[1])
+SELECT user_id, value, n_declarers, declarer_id FROM u JOIN d USING (value)""",
+    over_graph=False,
+)
+def http_join_points(spark, sf_dir):
+    """A page's first local link stands for what it declares, the others for what it uses."""
+    links = _table(spark, sf_dir, "pages").select("page_id", F.regexp_extract_all("html", F.lit('href="(/[^"?#]*)'), F.lit(1)).alias("l"))
+    uses = links.select(F.col("page_id").alias("user_id"), F.posexplode("l").alias("k", "value")).where("k > 0")
+    declares = links.where(F.size("l") > 0).select(F.col("page_id").alias("declarer_id"), F.col("l")[0].alias("value"))
+    return dashboard.join_points(uses, declares)
+
+
 def entry(spark: SparkSession) -> DataFrame:
     return relation_resolution(spark, "/root/testdata/sf0.001")
 

@@ -16,7 +16,7 @@ def plain(rows):
     return sorted(tuple("" if v is None else repr(float(v)) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v) for v in r) for r in rows)
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.oracle_sql()) & {"find_symbol_exact", "list_symbols_scoped", "relation_resolution", "calls_walk", "find_cycles", "find_dead_code", "bm25_documents", "hybrid_fusion", "clone_groups_broad", "debounced_batches"}))
+@pytest.mark.parametrize("name", sorted(set(catalog.oracle_sql()) & {"find_symbol_exact", "list_symbols_scoped", "relation_resolution", "calls_walk", "find_cycles", "find_dead_code", "bm25_documents", "hybrid_fusion", "clone_groups_broad", "debounced_batches", "latency_percentiles", "symbol_facets", "byte_budget_page", "distinct_callees", "enclosing_symbols", "renamed_files", "http_join_points"}))
 def test_equals_sql(spark, name):
     con = duckdb.connect()
     for t in TABLES:
