@@ -33,8 +33,9 @@ BOILERPLATE_WORDS = set(
 )
 CONTENT_WORDS = set("article content story post entry body main text".split())
 
+# a quote opens a value only after an equals sign, and possessive repeats keep a broken tag linear
 _TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)|([^<]+|<)""", re.DOTALL
+    r"""<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*+"[^"]*"|=\s*+'[^']*'|[^>])*+)(?:>|\Z)|([^<]+|<)""", re.DOTALL
 )
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.IGNORECASE)
 _RAW_END = {t: re.compile(rf"</{t}\s*>", re.IGNORECASE) for t in ("script", "style", "title", "textarea", "noscript", "iframe", "template")}

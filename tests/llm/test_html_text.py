@@ -35,3 +35,13 @@ def test_pages(spark):
     rows = [(1, "u", "<article>x</article>", "t"), (1, "u", "<article>x</article>", "t"), (2, None, None, None), (None, "v", "", "")]
     got = H.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
     assert sorted((r.page_id or 0, r.url or "", r.text, r.n_chars) for r in got) == [(0, "v", "", 0), (1, "u", "x", 1), (1, "u", "x", 1), (2, "", "", 0)]
+
+
+def test_stray_quotes_in_tags():
+    tree = H.train(H.LABELLED)
+    text = lambda page: H.main_text(f"<article>{page}</article>", tree)
+    assert text('<p title="5" tall">one</p><p>"two" three</p>') == 'one\n\n"two" three'
+    assert text('<p>a <a href="x>b</a> c</p>') == "a b c"
+    assert text("<p>it's <b title=it's>fine</b> here</p>") == "it's fine here"
+    assert text('<p title="a > b">c</p>') == "c"
+    assert H.blocks("<a x='" * 100_000) == []
