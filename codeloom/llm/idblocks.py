@@ -35,7 +35,7 @@ MAGIC = b"PFOR1\0\0\0"
 #: Values of a block (a multiple of 64), the percentile its width holds, ids of a file about.
 BLOCK, PERCENTILE, FILE_IDS = 1024, 90, 2_000_000
 #: Files that one task reads back about, and tasks at most (each then reads more files, one at a time).
-FILES_A_TASK, READ_TASKS = 8, 20_000
+FILES_A_TASK, READ_TASKS = 32, 20_000
 #: Id appended to every document.
 END = 0
 _HEAD = struct.Struct("<8sIIQIQ")
@@ -290,6 +290,7 @@ def read_ids(files: DataFrame, id_col: str = "doc_id", with_ids: bool = True) ->
     prepare(files.sparkSession)
 
     def run(batches: Iterator[list[list]]) -> Iterator[list]:
+        _encoders.clear()  # pieces that a reused worker remembers from writing
         for paths, starts, roots in batches:
             for p, start, root in zip(paths, starts, roots, strict=True):
                 store, _ = _filesystem(root)
