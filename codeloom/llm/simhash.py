@@ -17,6 +17,11 @@ In a bin, equal variants form buckets. Any two members of a bucket of which one
 by one flip differ in at most 1 + 2 bits, so a star around the smallest such member
 links all that the bucket proves, with no pairs; pairs are checked again by counting
 bits. Each bin sends on a spanning forest of its links only.
+
+Three bits keep almost identical texts only: at a Jaccard similarity of 0.8 two
+fingerprints differ in about ten. similar_groups reaches further: beside the balls, texts
+meet in blocks of min-hashes of their shingles, and every pair counts only if its shingle
+sets are as similar as asked.
 """
 
 from __future__ import annotations
@@ -29,7 +34,7 @@ from pyspark.sql import functions as F
 
 from codeloom.llm.common import map_columns, row_key
 from codeloom.llm.components import components, forest
-from codeloom.runtime import prepare, stage
+from codeloom.runtime import checked_broadcast, prepare, stage
 
 #: Seed of XXH64 for shingles.
 SEED = 42
@@ -37,7 +42,11 @@ SEED = 42
 BINS, BIN_VARIANTS = 256, 4_000_000
 #: Fingerprints that a task bins at a time.
 BATCH = 16_384
+#: Blocks of min-hashes and hashes in a block: at a similarity of 0.8 a pair misses all with probability 5e-6.
+BLOCKS, BLOCK_HASHES = 40, 6
 _LANES = np.uint64(0x0101010101010101)
+_FACTOR, _SHIFT = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BLOCKS * BLOCK_HASHES), dtype=np.uint64)
+_FACTOR |= np.uint64(1)
 
 
 def fingerprint(text: str | None, words: int = 3) -> int:
@@ -221,3 +230,118 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     linked = labelled.where(F.col("root").isNotNull()).join(named, "root").select("fp", "component_id")
     out = rows.join(linked, "fp")
     return out.select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", *["row"] * with_row)
+
+
+def shingle_hashes(text: str | None, words: int) -> np.ndarray:
+    """The distinct XXH64 of all word shingles, read as in fingerprint; a shorter text is one shingle."""
+    import xxhash
+
+    w = (text or "").encode().lower().split()
+    runs = [w[i : i + words] for i in range(max(1, len(w) - words + 1))] if w else []
+    return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(r), SEED) for r in runs], dtype=np.uint64))
+
+
+def block_keys(hashes: np.ndarray) -> list[int]:
+    """A signed 64-bit key for each block of min-hashes; none for a text without words."""
+    import xxhash
+
+    if not len(hashes):
+        return []
+    factor, shift = _FACTOR, _SHIFT
+    low = np.full(BLOCKS * BLOCK_HASHES, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for i in range(0, len(hashes), 512):
+        low = np.minimum(low, (hashes[i : i + 512, None] * factor + shift).min(axis=0))
+    return [_signed(xxhash.xxh64_intdigest(b.tobytes(), k)) for k, b in enumerate(low.reshape(BLOCKS, -1))]
+
+
+def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
+    """Whether two sets of distinct hashes have a Jaccard similarity of least or more; empty ones are alike."""
+    small, large = sorted((len(a), len(b)))
+    if small < least * large:
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= least * (small + large - both)
+
+
+def links_between(sets: list[np.ndarray], roots: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Links (by place) that connect whatever similar pairs connect, given the components found so far."""
+    roots, sizes, out = roots.copy(), np.array([len(x) for x in sets]), []
+    for i in range(len(sets)):
+        fits = np.minimum(sizes, sizes[i]) >= least * np.maximum(sizes, sizes[i])
+        for j in np.flatnonzero((roots != roots[i]) & fits).tolist():
+            if j > i and roots[j] != roots[i] and similar(sets[i], sets[j], least):
+                roots[roots == roots[j]] = roots[i]
+                out.append((i, j))
+    return out
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8, with_row: bool = False) -> DataFrame:
+    """As near_groups, but linked are texts whose sets of word shingles have a Jaccard
+    similarity of least or more.
+
+    Candidates are texts that the balls of their fingerprints or a block of min-hashes bring
+    together. First each is compared with one member of its block; then, in blocks that
+    still hold several components, all pairs across components are. So a pair is missed only
+    if it meets in no block. Blank texts are alike. Texts with the same words are one node.
+    """
+    import xxhash
+
+    prepare(docs.sparkSession)
+
+    def read(batches: Iterator[list[list]]) -> Iterator[list]:
+        for ids, rows, texts in batches:
+            nodes = [_signed(xxhash.xxh64_intdigest(b" ".join((t or "").encode().lower().split()), SEED + 1)) for t in texts]
+            yield [ids, rows, [_signed(fingerprint(t, words)) for t in texts], nodes, [block_keys(shingle_hashes(t, words)) for t in texts]]
+
+    src = docs.select(F.col(id_col).cast("long"), row_key(id_col, text_col), F.col(text_col))
+    rows = stage(map_columns(src, f"`{id_col}` long, row binary, fp long, node long, keys array<long>", read), "similar-rows")
+    nodes = stage(rows.groupBy("node").agg(F.min(id_col).alias("low"), F.min("fp").alias("fp"), F.min("row").alias("row"), F.first("keys").alias("keys")), "similar-nodes")
+
+    # by balls: one node for each fingerprint, and the others of equal fingerprint beside it
+    hubs = stage(nodes.groupBy("fp").agg(F.min("node").alias("hub")), "similar-fps")
+    near = link_fingerprints(hubs, hubs.count()).distinct()
+    balls = near.join(hubs.select(F.col("fp").alias("a"), F.col("hub").alias("x")), "a").join(hubs.select(F.col("fp").alias("b"), F.col("hub").alias("y")), "b").select("x", "y")
+    balls = balls.unionByName(nodes.join(hubs, "fp").select(F.col("hub").alias("x"), F.col("node").alias("y")).where("x <> y"))
+    # by blocks: each with the block's hub, another one in each block
+    blocks = nodes.select("node", F.explode("keys").alias("key"))
+    shared = blocks.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", "key").alias("h"), "node")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    blocks = stage(blocks.join(shared.select("key", F.col("first.node").alias("hub")), "key"), "similar-blocks")
+    pairs = balls.unionByName(blocks.select(F.col("hub").alias("x"), F.col("node").alias("y"))).where("x <> y")
+    pairs = stage(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "similar-pairs")
+
+    members = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    wanted = stage(nodes.select("node", "row").join(members, "node"), "similar-members")
+    texts = docs.select(row_key(id_col, text_col), F.coalesce(F.col(text_col), F.lit("")).alias("t")).join(checked_broadcast(wanted, 64), "row")
+    texts = stage(texts.groupBy("node").agg(F.min("t").alias("t")), "similar-texts")
+
+    def verify(batches: Iterator[list[list]]) -> Iterator[list]:
+        for a, b, s, t in batches:
+            held: dict[str, np.ndarray] = {}
+            for x in s + t:
+                if x not in held:
+                    held[x] = shingle_hashes(x, words)
+            good = [i for i in range(len(a)) if similar(held[s[i]], held[t[i]], least)]
+            yield [[a[i] for i in good], [b[i] for i in good]]
+
+    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("t").alias("s")), "a").join(texts.select(F.col("node").alias("b"), "t"), "b")
+    links = stage(map_columns(both.select("a", "b", "s", "t"), "a long, b long", verify), "similar-links")
+
+    def across(table):
+        import pyarrow as pa
+
+        own, roots = table.column("node").to_pylist(), np.array(table.column("root").to_pylist(), dtype=np.int64)
+        found = links_between([shingle_hashes(t, words) for t in table.column("t").to_pylist()], roots, least)
+        return pa.table({"a": pa.array([own[i] for i, _ in found], pa.int64()), "b": pa.array([own[j] for _, j in found], pa.int64())})
+
+    parts = components(links)
+    held = stage(blocks.select("key", "node").join(parts, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "similar-held")
+    mark = F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("mark")
+    mixed = held.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n"), mark).where("lo <> hi")
+    mixed = stage(mixed.groupBy("n", "mark").agg(F.min("key").alias("key")).select("key"), "similar-mixed")  # equal blocks once
+    more = held.join(checked_broadcast(mixed, 32), "key").join(texts, "node").select("key", "node", "root", "t").groupBy("key").applyInArrow(across, "a long, b long")
+    parts = components(links.unionByName(stage(more.distinct(), "similar-more")))
+
+    labelled = stage(nodes.select("node", "low").join(parts, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root")), "similar-roots")
+    named = labelled.groupBy("root").agg(F.min("low").alias("component_id"))
+    out = rows.join(labelled.join(named, "root").select("node", "component_id"), "node")
+    return out.select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", *["row"] * with_row)

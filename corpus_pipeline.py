@@ -27,8 +27,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, the document with the smallest id."""
-    groups = simhash.near_groups(docs, with_row=True)
+    """Of each group of near copies (five-word shingles, Jaccard similarity of 0.8 or more), the document with the smallest id."""
+    groups = simhash.similar_groups(docs, words=5, least=0.8, with_row=True)
     return without(docs, groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))))
 
 
