@@ -1,6 +1,7 @@
 """Secret scanning: patterns, and a battery of randomness tests with false-discovery control.
 
-Beside three patterns, any run of key-like characters is a candidate. Its encoding is
+Beside three patterns, any run of key-like characters is a candidate (an equals sign
+belongs to one only as padding at its end). Its encoding is
 inferred from its characters. Three tests measure how random it is: chi-squared
 uniformity over the encoding's alphabet, the number of runs above and below the middle
 of the alphabet, and the serial correlation of neighbours. A random string passes the
@@ -38,7 +39,9 @@ LEAST, RATE, PASS = 20, 0.01, 0.01
 #: Negative decimal exponents of p-values are counted in bins of this width, up to this many.
 BIN_WIDTH, BINS = 0.25, 400
 
-_CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}")
+# an equals sign parts candidates, as in name=value, unless it pads the end
+_PAD = r"(?![A-Za-z0-9+/_=-])"
+_CANDIDATE = re.compile(rf"[A-Za-z0-9+/_-]{{{LEAST},}}(?:={{1,2}}{_PAD})?|[A-Za-z0-9+/_-]{{{LEAST - 1}}}={{1,2}}{_PAD}|[A-Za-z0-9+/_-]{{{LEAST - 2}}}=={_PAD}")
 _KEYWORD = re.compile(r"password|passwd|secret|token|api_?key", re.IGNORECASE | re.ASCII)
 #: Alphabets of encodings, narrowest first.
 ALPHABETS = {
@@ -134,7 +137,7 @@ def candidates(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, i
     out = []
     for m in _CANDIDATE.finditer(text):
         s, e = m.span()
-        if any(s < b[1] and b[0] < e for b in base) or not mixed(m[0]):
+        if any(s < b[1] and b[0] < e for b in base):
             continue
         random, p = battery(m[0])
         if random >= PASS:

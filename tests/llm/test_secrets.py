@@ -50,3 +50,20 @@ def test_documents(spark, hard, empty):
     assert got[0].n_assign == 1 and got[0].base_sha256 == hashlib.sha256(f"assign:{at}:{at + 16}".encode()).hexdigest()
     assert S.find_secrets(hard).count() == hard.count()
     assert S.find_secrets(empty).count() == 0
+
+
+def test_every_run_of_key_characters_is_tested():
+    rng = random.Random(12)
+    draw = lambda name, n: "".join(rng.choice(S.ALPHABETS[name]) for _ in range(n))
+    spans = lambda t: [x[:2] for x in S.candidates(t, S.base_spans(t))]
+    for name in ("auth", "sig", "aws_secret_access_key"):
+        found = 0
+        for _ in range(50):
+            key = draw("base62", 40)
+            found += (len(name) + 1, len(name) + 41) in spans(f"{name}={key} x")
+        assert found > 45, name
+    for kind, letters in (("decimal", "0123456789"), ("lower", "abcdefghijklmnopqrstuvwxyz"), ("base62", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")):
+        keys = ["".join(rng.choice(letters) for _ in range(24)) for _ in range(50)]
+        assert sum((0, 24) in spans(k) for k in keys) > 30, kind
+    pads = ["".join(rng.choice(S.ALPHABETS["base64"]) for _ in range(18)) + "==" for _ in range(50)]
+    assert sum((0, 20) in spans(p) for p in pads) > 40
