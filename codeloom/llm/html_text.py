@@ -32,6 +32,9 @@ BOILERPLATE_WORDS = set(
     "toolbar pagination pager complementary contentinfo disclaimer copyright masthead".split()
 )
 CONTENT_WORDS = set("article content story post entry body main text".split())
+# What may stand in a head, whose end tag can be left out, and blocks that hold text and no other blocks.
+HEAD_TAGS = set("head html base basefont bgsound link meta title style script noscript template".split())
+TEXT_TAGS = set("h1 h2 h3 h4 h5 h6 p pre blockquote dt figcaption caption summary".split())
 
 # a quote opens a value only after an equals sign, and possessive repeats keep a broken tag linear
 _TOKEN = re.compile(
@@ -147,6 +150,8 @@ def blocks(page: str) -> list[Block]:
         if m.end() == at:
             break
         at = m.end()
+        if stack and stack[-1][0] == "head" and (m[4].strip() if m[4] is not None else m[2] and m[1] != "/" and m[2].lower() not in HEAD_TAGS):
+            stack.pop()
         if m[4] is not None:
             if not any(k == "h" for _, k in stack):
                 parts.append((entities.unescape(m[4]), link > 0))
@@ -186,10 +191,18 @@ def _meaning(tag: str, attributes: str, stack: list[tuple[str, str]]) -> str:
         return "c"
     if tag in ("body", "html"):
         return ""
-    words = {w for _, v in _ATTRIBUTE.findall(attributes) for w in _SPLIT.split(_CAMEL.sub("-", v).lower())}
-    if words & BOILERPLATE_WORDS:
+    names = [(a.lower(), set(_SPLIT.split(_CAMEL.sub("-", x).lower())) - {""}) for a, v in _ATTRIBUTE.findall(attributes) for x in v.strip("\"'").split()]
+    inside = any(k == "c" for _, k in stack)
+    bad, good = set(), set()
+    for a, words in names:
+        # the id of a section of the article is its topic, unless it says nothing but boilerplate
+        if words & BOILERPLATE_WORDS and not (a == "id" and tag == "section" and inside and words - BOILERPLATE_WORDS):
+            bad |= words & BOILERPLATE_WORDS
+        else:
+            good |= words & CONTENT_WORDS
+    if bad and tag not in TEXT_TAGS and len(good) <= len(bad):
         return "b"
-    return "c" if words & CONTENT_WORDS else ""
+    return "c" if good else ""
 
 
 def vectors(found: list[Block]) -> list[tuple[float, ...]]:

@@ -45,3 +45,13 @@ def test_stray_quotes_in_tags():
     assert text("<p>it's <b title=it's>fine</b> here</p>") == "it's fine here"
     assert text('<p title="a > b">c</p>') == "c"
     assert H.blocks("<a x='" * 100_000) == []
+
+
+def test_head_without_end_and_words_on_text_blocks():
+    body = "<article><p>one two</p></article>"
+    for head in ("<head><title>T</title><body>", "<head><meta charset=x><title>T</title>", "<html><head><link rel=x><script>y</script>", "<head><title>T</title></head><body>"):
+        assert H.main_text(head + body, TREE) == "one two", head
+    assert [b.text for b in H.blocks("<head><title>T</title> one two")] == ["one two"]
+    inside = '<h2 id="related-work">Related</h2><p class="notice">a b</p><section id="side-effects"><p>c d</p></section><div class="post-content widget"><p>e f</p></div>'
+    dropped = '<div class="widget">x</div><section id="comments"><p>y</p></section><div class="content-sidebar">z</div>'
+    assert H.main_text(f"<article>{inside}{dropped}</article>", TREE) == "Related\n\na b\n\nc d\n\ne f"
