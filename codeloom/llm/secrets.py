@@ -133,15 +133,14 @@ def mixed(token: str) -> bool:
 
 
 def candidates(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, float]]:
-    """(start, end, discovery p-value) of candidates outside base spans that pass the battery."""
+    """(start, end, discovery p-value) of all candidates outside base spans; 1 for those that fail the battery."""
     out = []
     for m in _CANDIDATE.finditer(text):
         s, e = m.span()
         if any(s < b[1] and b[0] < e for b in base):
             continue
         random, p = battery(m[0])
-        if random >= PASS:
-            out.append((s, e, p))
+        out.append((s, e, p if random >= PASS else 1.0))
     return out
 
 

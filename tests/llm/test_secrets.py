@@ -55,7 +55,7 @@ def test_documents(spark, hard, empty):
 def test_every_run_of_key_characters_is_tested():
     rng = random.Random(12)
     draw = lambda name, n: "".join(rng.choice(S.ALPHABETS[name]) for _ in range(n))
-    spans = lambda t: [x[:2] for x in S.candidates(t, S.base_spans(t))]
+    spans = lambda t: [x[:2] for x in S.candidates(t, S.base_spans(t)) if x[2] < 1]
     for name in ("auth", "sig", "aws_secret_access_key"):
         found = 0
         for _ in range(50):
@@ -67,3 +67,7 @@ def test_every_run_of_key_characters_is_tested():
         assert sum((0, 24) in spans(k) for k in keys) > 30, kind
     pads = ["".join(rng.choice(S.ALPHABETS["base64"]) for _ in range(18)) + "==" for _ in range(50)]
     assert sum((0, 20) in spans(p) for p in pads) > 40
+
+
+def test_failed_candidates_count_as_tests():
+    assert S.candidates("ab" * 20, []) == [(0, 40, 1.0)]
