@@ -33,10 +33,39 @@ def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
     return F.unhex(F.md5(F.concat_ws("|", *parts).cast("binary"))).alias("row")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """name, with underscores before it until no column of df has it (case aside)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def without(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows whose row_key is in dropped's column row; all columns of docs stay.
 
     dropped is broadcast when its counted rows are few enough, else the join shuffles.
     """
-    gone = stage(dropped.select(F.col("row").alias("__gone")).distinct(), "dropped")
-    return docs.join(checked_broadcast(gone, 64), row_key(id_col, text_col) == F.col("__gone"), "left_anti")
+    name = fresh(docs, "gone")
+    gone = stage(dropped.select(F.col("row").alias(name)).distinct(), "dropped")
+    return docs.join(checked_broadcast(gone, 64), row_key(id_col, text_col) == F.col(name), "left_anti")
+
+
+def once(docs: DataFrame, key: Column, repeated: DataFrame) -> DataFrame:
+    """docs with one row for each key in repeated (one column of distinct keys); rows of other keys all stay.
+
+    Of rows with one key the smallest stays, column by column in their order and nulls
+    first, so the choice is defined; partial aggregation brings a hot key down to one row
+    a task. Columns that have no order (maps) are chosen from any of the rows.
+    """
+    if repeated.isEmpty():
+        return docs
+    name, own = fresh(docs, "again"), fresh(docs, "own")
+    again = checked_broadcast(repeated.toDF(name), 64)
+    ordered = [f.name for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    loose = [c for c in docs.columns if c not in ordered]
+    picks = [F.min(F.struct(*[F.col(f"`{c}`") for c in ordered])).alias("x"), *[F.first(f"`{c}`").alias(f"l{i}") for i, c in enumerate(loose)]]
+    keyed = docs.withColumn(own, key)
+    picked = keyed.join(again, F.col(own) == F.col(name), "left_semi").groupBy(own).agg(*picks)
+    one = picked.select(*[(F.col("x").getField(c) if c in ordered else F.col(f"l{loose.index(c)}")).alias(c) for c in docs.columns])
+    return keyed.join(again, F.col(own) == F.col(name), "left_anti").drop(own).unionByName(one)

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codeloom.llm.common import fresh, once
 from codeloom.runtime import checked_broadcast, prepare, stage
 
 #: Shares that one group's rows are dealt to, so that no task holds a whole hot group.
@@ -59,15 +60,17 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min") -> DataFrame:
-    """The rows of docs that exact_groups keeps, with all their columns."""
+    """The rows of docs that exact_groups keeps, with all their columns.
+
+    A null text equals an empty one, also beside it under one id. Of rows equal in id and
+    text that are to stay, the smallest by its other columns does (common.once). Columns
+    of docs may have any names. An empty table stays empty.
+    """
     groups = exact_groups(docs, id_col, text_col, keep)
-    gone = groups.where(~F.col("kept")).select(F.col(id_col).alias("__i"), F.col("text_sha256").alias("__s"), F.col("keep_id").eqNullSafe(F.col(id_col)).alias("__again"))
-    gone = stage(gone, "exact-gone")
-    sha = F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("__i")) & (sha == F.col("__s"))
-    out = docs.join(checked_broadcast(gone.where(~F.col("__again")).select("__i", "__s").distinct(), 120), same, "left_anti")
-    again = gone.where("__again").select("__i", "__s").distinct()
-    if again.isEmpty():
-        return out
-    one = out.join(checked_broadcast(again, 120), same, "left_semi").dropDuplicates([id_col, text_col])
-    return out.join(checked_broadcast(again, 120), same, "left_anti").unionByName(one)
+    key = lambda i, sha: F.unhex(F.md5(F.concat_ws("|", F.coalesce(i.cast("string"), F.lit("-")), sha).cast("binary")))
+    gone = groups.where(~F.col("kept")).select(key(F.col(id_col), F.col("text_sha256")).alias("k"), F.col("keep_id").eqNullSafe(F.col(id_col)).alias("again"))
+    gone = stage(gone.distinct(), "exact-gone")
+    own = key(F.col(id_col).cast("long"), F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256))
+    name = fresh(docs, "gone")
+    out = docs.join(checked_broadcast(gone.where("not again").select(F.col("k").alias(name)), 64), own == F.col(name), "left_anti")
+    return once(out, own, gone.where("again").select("k"))

@@ -280,7 +280,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     similarity of least or more.
 
     Candidates are texts that the balls of their fingerprints or a block of min-hashes bring
-    together. First each is compared with one member of its block; then, in blocks that
+    together; with_row adds row and keep_row, the keys of the row and of the one row of its
+    component to keep: smallest id (null last), then key. First each is compared with one member of its block; then, in blocks that
     still hold several components, all pairs across components are. So a pair is missed only
     if it meets in no block. Blank texts are alike. Texts with the same words are one node.
     """
@@ -295,7 +296,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     src = docs.select(F.col(id_col).cast("long"), row_key(id_col, text_col), F.col(text_col))
     rows = stage(map_columns(src, f"`{id_col}` long, row binary, fp long, node long, keys array<long>", read), "similar-rows")
-    nodes = stage(rows.groupBy("node").agg(F.min(id_col).alias("low"), F.min("fp").alias("fp"), F.min("row").alias("row"), F.first("keys").alias("keys")), "similar-nodes")
+    own = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "row")
+    nodes = stage(rows.groupBy("node").agg(F.min(own).alias("low"), F.min("fp").alias("fp"), F.min("row").alias("row"), F.first("keys").alias("keys")), "similar-nodes")
 
     # by balls: one node for each fingerprint, and the others of equal fingerprint beside it
     hubs = stage(nodes.groupBy("fp").agg(F.min("node").alias("hub")), "similar-fps")
@@ -342,6 +344,6 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     parts = components(links.unionByName(stage(more.distinct(), "similar-more")))
 
     labelled = stage(nodes.select("node", "low").join(parts, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root")), "similar-roots")
-    named = labelled.groupBy("root").agg(F.min("low").alias("component_id"))
-    out = rows.join(labelled.join(named, "root").select("node", "component_id"), "node")
-    return out.select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", *["row"] * with_row)
+    named = labelled.groupBy("root").agg(F.min("low").alias("low")).select("root", F.col("low.id").alias("component_id"), F.col("low.row").alias("keep_row"))
+    out = rows.join(labelled.drop("low").join(named, "root").select("node", "component_id", "keep_row"), "node")
+    return out.select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", *["row", "keep_row"] * with_row)
