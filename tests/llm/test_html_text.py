@@ -1,10 +1,69 @@
+import random
+import time
+
 from codeloom.llm import html_text as H
 
-TREE = H.train(H.LABELLED)
+ROWS = H.labelled()
+TREE = H.train(ROWS)
+
+
+def used(tree):
+    return {tree[0]} | used(tree[2]) | used(tree[3]) if isinstance(tree, tuple) else set()
 
 
 def test_tree_learns_its_table():
-    assert all(H.classify(TREE, x) == y for x, y in H.LABELLED)
+    assert len(ROWS) > 100 and all(H.classify(TREE, x) == y for x, y in ROWS)
+    assert {0, 1, 4} <= used(TREE)  # words and link density of the block, words of a neighbour
+
+
+def page(rng, hints):
+    """A page unlike the labelled ones, and its article's blocks."""
+    words = lambda lo, hi: " ".join(rng.choice("alpha beta gamma delta epsilon".split()) for _ in range(rng.randint(lo, hi)))
+    box = lambda name, inner: f'<div class="{name}">{inner}</div>' if hints else f"<div>{inner}</div>"
+    menu = lambda: "".join(f"<li><a href=/{i}>{words(1, 3)}</a>" for i in range(rng.randint(3, 7)))
+    article = [("h1", words(3, 9))]
+    for _ in range(rng.randint(2, 6)):
+        if rng.random() < 0.2:
+            article.append(("h2", words(2, 5)))
+        article.append(("p", words(25, 120)))
+    inner = "".join(f"<{t}>{x}</{t}>" for t, x in article)
+    before = box("menu", f"<ul>{menu()}</ul>") + (box("ad", f"<a href=//x>{words(4, 12)}</a>") if rng.random() < 0.7 else "")
+    after = box("related", f"<ul>{menu()}</ul>") + box("footer", f"<p>{words(3, 8)}</p><p><a href=/i>{words(1, 2)}</a></p>")
+    return before + box("post", inner) + after, [x for _, x in article]
+
+
+def test_held_out_accuracy_with_and_without_hints():
+    """Blocks of the article found, and others let through; without hints the tree has words and densities only."""
+    for hints, caught, clean in ((True, 1.0, 0.0), (False, 0.95, 0.1)):
+        rng = random.Random(21)
+        want = got = wrong = 0
+        for _ in range(300):
+            html, blocks = page(rng, hints)
+            found = [x for x in H.main_text(html, TREE).split("\n\n") if x]
+            want += len(blocks)
+            got += sum(x in found for x in blocks)
+            wrong += sum(x not in blocks for x in found)
+        assert got >= caught * want, (hints, got, want)
+        assert wrong <= clean * want, (hints, wrong, want)
+
+
+def test_containers_with_misleading_names():
+    long = "word " * 60
+    for around in ('<div class="content has-sidebar">%s</div>', '<div id="main-menu-wrapper"><article>%s</article></div>', "<form><article>%s</article></form>", "<form><div><main>%s</main></div></form>"):
+        html = around % f"<h1>a b c</h1><p>{long}</p><p>x y z q r s</p><p>{long}</p>"
+        assert H.main_text(html, TREE) == "\n\n".join(("a b c", long.strip(), "x y z q r s", long.strip())), around
+    assert H.main_text(f'<article><div class="text notice-board"><p>{long}</p></div></article>', TREE) == long.strip()
+    assert H.main_text(f'<div class="main"><header><a>Site</a> slogan</header><p>{long}</p></div>', TREE) == long.strip()
+    assert H.main_text("<article><svg/><p>one two</p><svg><path d=x /><text>no</text></svg><p>three</p></article>", TREE) == "one two\n\nthree"
+    reader = f'<div class="comments"><article class="comment"><p>{long}</p></article></div>'
+    assert H.main_text(f"<article><p>{long}</p></article>{reader}", TREE) == long.strip()
+
+
+def test_deep_and_unclosed_pages_are_linear():
+    for unit in ("<li>x", "<div>x", "<b>x", "<div class=ad>x", "</ul>x", "<svg>", "<a href=x>y"):
+        began = time.process_time()
+        H.main_text(unit * 100_000, TREE)
+        assert time.process_time() - began < 8, unit
 
 
 def test_article_and_no_more():
@@ -38,7 +97,7 @@ def test_pages(spark):
 
 
 def test_stray_quotes_in_tags():
-    tree = H.train(H.LABELLED)
+    tree = TREE
     text = lambda page: H.main_text(f"<article>{page}</article>", tree)
     assert text('<p title="5" tall">one</p><p>"two" three</p>') == 'one\n\n"two" three'
     assert text('<p>a <a href="x>b</a> c</p>') == "a b c"
