@@ -36,6 +36,8 @@ MAGIC = b"PFOR1\0\0\0"
 BLOCK, PERCENTILE, FILE_IDS = 1024, 90, 2_000_000
 #: Files that one task reads back about, and tasks at most (each then reads more files, one at a time).
 FILES_A_TASK, READ_TASKS = 32, 20_000
+#: Parts whose totals one task adds up.
+SUM_PARTS = 4_096
 #: Id appended to every document.
 END = 0
 _HEAD = struct.Struct("<8sIIQIQ")
@@ -158,16 +160,17 @@ class Encoder:
 
     The split pattern begins a new match at every space before a visible character and
     on both sides of a line feed between visible characters, so those pieces are encoded
-    once each by the tokenizer's own model. Texts with other white space go through the
-    library whole.
+    once each by the tokenizer's own model. Texts with other white space or with the string
+    of an added token go through the library whole.
     """
 
     def __init__(self, spec: str, most: int = 700_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         parsed = json.loads(spec)
+        # strings that the library takes for one id wherever they stand; such texts go through it whole
+        self.added = [t["content"] for t in parsed.get("added_tokens") or () if t.get("content")]
         pre = parsed.get("pre_tokenizer") or {}
         self.pieces = parsed.get("normalizer") is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
         whole, letters = self._whole, self._letters
@@ -214,7 +217,7 @@ class Encoder:
         words = text.split()
         gaps = len(words) - 1
         # other white space, at the ends or in runs, leaves more characters between the words
-        if not self.pieces or text.count(" ") + text.count("\n") != gaps or len(text) - sum(map(len, words)) != gaps:
+        if not self.pieces or any(map(text.__contains__, self.added)) or text.count(" ") + text.count("\n") != gaps or len(text) - sum(map(len, words)) != gaps:
             return np.concatenate((self._whole(text), end))
         parts = list(map(self.spaced.__getitem__, words))
         parts[0] = self.plain[words[0]]
@@ -246,8 +249,10 @@ def write_ids(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text
     """Writes files of ids in ascending id order (nulls first); returns their table:
     part, seq, path, n_docs, n_ids, in order by part and seq, with start, the ids before.
 
-    Null texts count as empty and give END alone; rows of one id follow each other, by
-    text. A file that a failed attempt leaves behind has a name of its own and isn't in
+    Null texts count as empty and give END alone; rows of one id follow each other, by a hash
+    of the text. Rows are dealt by id, that hash and their number in the input, so neither a
+    common id (null among them) nor a row repeated very often makes one task hold them all.
+    A file that a failed attempt leaves behind has a name of its own and isn't in
     the table. Files go to path or else to a new folder beside the session's checkpoints.
     """
     spark = prepare(docs.sparkSession)
@@ -279,10 +284,32 @@ def write_ids(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text
             yield flush()
 
     src = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"))
-    src = src.repartitionByRange("i").sortWithinPartitions("i", "t")
+    src = src.select("i", F.xxhash64("t").alias("h"), F.monotonically_increasing_id().alias("n"), "t")
+    src = src.repartitionByRange("i", "h", "n").sortWithinPartitions("i", "h", "n").select("i", "t")
     files = stage(map_columns(src, "part int, seq int, path string, n_docs long, n_ids long", run), "token-id-files")
-    before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    return files.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0).cast("long"))).withColumn("root", F.lit(path))
+    return before(files).withColumn("root", F.lit(path))
+
+
+def before(files: DataFrame) -> DataFrame:
+    """files with start, the ids of all files before, in order by part and seq.
+
+    Sums inside a part need only that part's rows. What lies before a part comes from the
+    parts' totals in groups of SUM_PARTS: a task sums one group, and the driver adds up the
+    groups, a few hundred numbers for a million parts.
+    """
+    own = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    parts = files.groupBy("part").agg(F.sum("n_ids").alias("n")).withColumn("group", F.floor(F.col("part") / SUM_PARTS))
+    groups = parts.groupBy("group").agg(F.sum("n").alias("total")).collect()
+    sums, at = [], 0
+    for g, n in sorted(tuple(r) for r in groups):
+        sums.append((g, at))
+        at += n
+    base = files.sparkSession.createDataFrame(sums, "group long, base long")
+    inside = Window.partitionBy("group").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = parts.withColumn("ahead", F.coalesce(F.sum("n").over(inside), F.lit(0).cast("long"))).join(F.broadcast(base), "group")
+    starts = starts.select("part", (F.col("base") + F.col("ahead")).alias("ahead"))
+    out = files.withColumn("start", F.coalesce(F.sum("n_ids").over(own), F.lit(0).cast("long"))).join(starts, "part")
+    return out.withColumn("start", F.col("start") + F.col("ahead")).drop("ahead")
 
 
 def read_ids(files: DataFrame, id_col: str = "doc_id", with_ids: bool = True) -> DataFrame:

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 P = pytest.importorskip("public_tokenizers")
+from tokenizers import Tokenizer  # noqa: E402
 
 from codeloom.llm import idblocks as I  # noqa: E402, E741
 
@@ -40,18 +41,16 @@ def test_encoder_equals_library():
     with open(SPEC, encoding="utf-8") as f:
         e = I.Encoder(f.read(), most=50)
     assert e.pieces
+    library = Tokenizer.from_file(SPEC)
     rng = random.Random(2)
     parts = ["a", "b", " ", "  ", "\n", "hello", "'s", ".", ",", "!?", "é", "中", "\t", " x", " the", "\x1c", "<|endoftext|>", "12", " ", "¿", "...", "x.'s"]
     for _ in range(4000):
         text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 12)))
-        assert e.encode(text).tolist() == [*e.tokenizer.encode(text, add_special_tokens=False).ids, 0]
+        assert e.encode(text).tolist() == [*library.encode(text, add_special_tokens=False).ids, 0]
 
 
 def test_write_and_read(hard, empty):
-    from tokenizers import Tokenizer
-
     t = Tokenizer.from_file(SPEC)
-    t.encode_special_tokens = True
     rows = sorted(((r.doc_id, r.text or "") for r in hard.collect()), key=lambda r: (r[0] is not None, r[0] or 0))
     got = I.read_ids(I.write_ids(hard, SPEC)).collect()
     want, start = [], 0
@@ -65,3 +64,29 @@ def test_write_and_read(hard, empty):
     ids = [r.doc_id for r in sorted(got, key=lambda r: r.start)]
     assert ids == [d for d, _ in rows]
     assert I.read_ids(I.write_ids(empty, SPEC)).count() == 0
+
+
+def test_strings_of_added_tokens_are_the_librarys_ids():
+    with open(SPEC, encoding="utf-8") as f:
+        e = I.Encoder(f.read())
+    library = Tokenizer.from_file(SPEC)
+    for text in ("a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y z", "a<|endof text|>", "one <|endoftext|>\n two <|endoftext|>"):
+        assert e.encode(text).tolist() == [*library.encode(text, add_special_tokens=False).ids, 0], text
+    assert 50256 in e.encode("a <|endoftext|> b").tolist()
+
+
+def test_starts_over_many_parts(spark, monkeypatch):
+    monkeypatch.setattr(I, "SUM_PARTS", 3)
+    rng = random.Random(6)
+    rows = [(p, q, rng.randint(0, 9)) for p in (0, 1, 2, 3, 5, 8, 9, 10, 17) for q in range(rng.randint(1, 4))]
+    got = {(r.part, r.seq): r.start for r in I.before(spark.createDataFrame(rows, "part int, seq int, n_ids long")).collect()}
+    at = 0
+    for p, q, n in sorted(rows):
+        assert got[p, q] == at
+        at += n
+
+
+def test_one_id_for_most_rows(spark):
+    rows = [(None, f"t {i % 5}") for i in range(300)] + [(4, "same")] * 300 + [(i, f"u {i}") for i in range(50)]
+    got = sorted(I.read_ids(I.write_ids(spark.createDataFrame(rows, "doc_id long, text string"), SPEC)).collect(), key=lambda r: r.start)
+    assert len(got) == 650 and [r.doc_id or -1 for r in got] == sorted(r[0] if r[0] else -1 for r in rows)
