@@ -7,23 +7,26 @@ shingle, the rarest, necessary. Documents are probed with those prefixes only; t
 shingle's place in the window bounds where the window must begin (it must fit into the
 document), and the words of the window are then compared one by one.
 
-The index of a slice of the benchmark goes to the executors. Slices are cut by the
-benchmark's measured size, so the index of each is bounded; results of slices are
-united per document.
+The benchmark is cut into slices by its measured size. Tasks build a compact index of each
+slice and write it to the shared folder; the driver sees paths only. Documents are read
+once to count shingles and once to search, whatever the number of slices: a task holds a
+bounded chunk of texts and passes it by one slice's index after another.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
+import pickle
+import uuid
 from collections.abc import Iterator
 from itertools import chain, repeat
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import map_columns, row_key
-from codeloom.runtime import prepare, stage
+from codeloom.llm.common import filesystem, map_columns, row_key
+from codeloom.runtime import new_path, prepare, stage
 
 #: Words of a window and of a shingle.
 WINDOW, SHINGLE = 13, 5
@@ -32,14 +35,16 @@ SLICE_BYTES = 8 << 20
 
 #: Of the UTF-8 bytes, A-Z in lower case, digits, a-z and all beyond ASCII; the others become spaces.
 _BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+_MULTIPLIER, _OTHER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+#: Bytes of documents that a task passes by the slices at a time, and counts it holds.
+CHUNK_BYTES, HELD_COUNTS = 32 << 20, 8_000_000
 
 
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(_BYTES).split()
 
 
-def _rolling(ids: np.ndarray, k: int) -> np.ndarray:
+def _rolling(ids: np.ndarray, k: int, multiplier: np.uint64 = _MULTIPLIER) -> np.ndarray:
     """A 64-bit hash of every k neighbouring word numbers."""
     n = len(ids) - k + 1
     if n <= 0:
@@ -48,52 +53,79 @@ def _rolling(ids: np.ndarray, k: int) -> np.ndarray:
     x ^= x >> np.uint64(31)
     out = np.zeros(n, np.uint64)
     for i in range(k):
-        out = out * _MULTIPLIER + x[i : i + n]
+        out = out * multiplier + x[i : i + n]
     return out
 
 
 class Index:
-    """Windows of a slice of the benchmark, by word numbers (0: a word the slice lacks)."""
+    """Windows of a slice of the benchmark, by word numbers (0: a word the slice lacks).
 
-    def __init__(self, items: list[tuple[str, str]], window: int = WINDOW, shingle: int = SHINGLE):
+    All items stand in one array of words; a window is a place in it and a length. Windows
+    of equal words are one, by 128 bits of two rolling hashes, with the items that hold it.
+    Per word of the slice that takes about 30 bytes, and its distinct words as a table.
+    """
+
+    def __init__(self, items: list[tuple[str | None, str]], window: int = WINDOW, shingle: int = SHINGLE):
         self.window, self.shingle = window, shingle
         self.words: dict[bytes, int] = {}
-        owners: dict[tuple[int, ...], set[str]] = defaultdict(set)
+        self.names = sorted({n for n, _ in items if n is not None})
+        number = {n: i for i, n in enumerate(self.names)} | {None: -1}
+        flat, starts, lengths, items_ = [], [], [], []
+        at = 0
         for name, text in items:
             ids = [self.words.setdefault(w, len(self.words) + 1) for w in words_of(text)]
-            for i in range(max(1, len(ids) - window + 1) if ids else 0):
-                owners[tuple(ids[i : i + window])].add(name)
-        self.windows = sorted(owners)
-        self.owners = [sorted(owners[w]) for w in self.windows]
-        self.lengths = np.array([len(w) for w in self.windows], dtype=np.int64)
-        self.table = np.zeros((len(self.windows), window), dtype=np.int32)
-        for i, w in enumerate(self.windows):
-            self.table[i, : len(w)] = w
-        # by shingle length: hashes of all shingles, and their windows and places
-        self.shingles: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        for k in sorted({min(shingle, n) for n in set(self.lengths.tolist())}):
-            own = [i for i, w in enumerate(self.windows) if min(shingle, len(w)) == k]
-            hashes = [_rolling(self.table[i, : self.lengths[i]], k) for i in own]
-            which = np.repeat(np.array(own), [len(h) for h in hashes])
-            place = np.concatenate([np.arange(len(h)) for h in hashes])
-            self.shingles[k] = (np.concatenate(hashes), which, place)
-        self.known = {k: np.unique(h) for k, (h, _, _) in self.shingles.items()}
+            if ids:
+                n = max(1, len(ids) - window + 1)
+                flat.append(np.array(ids, dtype=np.int32))
+                starts.append(np.arange(at, at + n))
+                lengths.append(np.full(n, min(window, len(ids))))
+                items_.append(np.full(n, number[name]))
+                at += len(ids)
+        none = [np.zeros(0, np.int64)]
+        self.flat = np.concatenate(flat or [np.zeros(0, np.int32)])
+        start, length, item = (np.concatenate(x or none) for x in (starts, lengths, items_))
+        h = np.zeros((2, len(start)), dtype=np.uint64)
+        for n in np.unique(length).tolist():
+            own = length == n
+            h[0, own], h[1, own] = (_rolling(self.flat, n, m)[start[own]] for m in (_MULTIPLIER, _OTHER))
+        order = np.lexsort((item, h[1], h[0], length))
+        start, length, item, h = start[order], length[order], item[order], h[:, order]
+        new = np.r_[True, (length[1:] != length[:-1]) | (h[:, 1:] != h[:, :-1]).any(axis=0)][: len(start)]
+        group = np.cumsum(new) - 1
+        self.start, self.lengths = start[new], length[new]
+        # the items of each window: a row of owners from bounds[i] to bounds[i + 1]
+        keep = np.r_[True, (group[1:] != group[:-1]) | (item[1:] != item[:-1])][: len(start)] & (item >= 0)
+        self.owners = item[keep].astype(np.int32)
+        self.bounds = np.searchsorted(group[keep], np.arange(len(self.start) + 1))
+        self.known = {k: np.unique(_rolling(self.flat, k)[self._places(k)]) for k in sorted({min(shingle, n) for n in set(self.lengths.tolist())})}
         self.prefix: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
 
-    def order_by_rarity(self, counts: dict[tuple[int, int], int]) -> None:
-        """Keeps the rarest shingle of each window; counts: by length and position in known."""
-        for k, (hashes, which, place) in self.shingles.items():
-            at = np.searchsorted(self.known[k], hashes)
-            n = np.zeros(len(self.known[k]), dtype=np.int64)
-            for (length, i), c in counts.items():
-                if length == k:
-                    n[i] = c
-            order = np.lexsort((place, n[at], which))
-            first = order[np.r_[True, which[order][1:] != which[order][:-1]]]
-            first = first[np.argsort(hashes[first], kind="stable")]
-            keys, start = np.unique(hashes[first], return_index=True)
-            self.prefix[k] = (keys, np.r_[start, len(first)], which[first], place[first])
-        self.shingles = {}
+    def _places(self, k: int) -> np.ndarray:
+        """Where the shingles of windows with shingles of k words begin."""
+        own = np.minimum(self.shingle, self.lengths) == k
+        n = self.lengths[own] - k + 1
+        return np.unique(np.repeat(self.start[own], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
+
+    def order_by_rarity(self, counts: dict[int, tuple[np.ndarray, np.ndarray]]) -> None:
+        """Keeps the rarest shingle of each window; counts: by length, positions in known and numbers."""
+        for k, known in self.known.items():
+            n = np.zeros(len(known), dtype=np.int64)
+            where, number = counts.get(k, (np.zeros(0, np.int64), np.zeros(0, np.int64)))
+            n[where] = number
+            hashes = _rolling(self.flat, k)
+            at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+            frequency = np.where(known[at] == hashes, n[at], np.iinfo(np.int64).max)
+            which = np.flatnonzero(np.minimum(self.shingle, self.lengths) == k)
+            place = np.zeros(len(which), dtype=np.int64)
+            for size in np.unique(self.lengths[which]).tolist():
+                own = self.lengths[which] == size
+                near = np.lib.stride_tricks.sliding_window_view(frequency, size - k + 1)
+                place[own] = near[self.start[which[own]]].argmin(axis=1)
+            keys = hashes[self.start[which] + place]
+            order = np.argsort(keys, kind="stable")
+            keys, first = np.unique(keys[order], return_index=True)
+            self.prefix[k] = (keys, np.r_[first, len(which)], which[order].astype(np.int32), place[order].astype(np.int16))
+        self.known = {}
 
     def read(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Word numbers of all texts in a row, a 0 after each; where each begins; its words.
@@ -128,12 +160,14 @@ class Index:
             win, begin = which[row], np.repeat(pos, n) - place[row]
             fits = (begin >= 0) & (begin + self.lengths[win] <= len(ids))
             win, begin = win[fits], begin[fits]
-            if len(win):
+            for i in range(0, len(win), 100_000):
+                w, b = win[i : i + 100_000], begin[i : i + 100_000]
                 span = np.arange(self.window)
-                have = ids[np.minimum(begin[:, None] + span, len(ids) - 1)]
-                same = ((have == self.table[win]) | (span >= self.lengths[win][:, None])).all(axis=1)
-                starts.append(begin[same])
-                found.append(win[same])
+                have = ids[np.minimum(b[:, None] + span, len(ids) - 1)]
+                want = self.flat[np.minimum(self.start[w][:, None] + span, len(self.flat) - 1)]
+                same = ((have == want) | (span >= self.lengths[w][:, None])).all(axis=1)
+                starts.append(b[same])
+                found.append(w[same])
         if not starts:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         return np.concatenate(starts), np.concatenate(found)
@@ -149,39 +183,87 @@ def _spans(starts: np.ndarray, ends: np.ndarray) -> list[int]:
     return np.stack((s[cut], e[np.r_[cut[1:] - 1, len(e) - 1]]), axis=1).ravel().tolist()
 
 
-def _search(docs: DataFrame, items: DataFrame, window: int, shingle: int) -> DataFrame:
-    """row_id, row, n_words, spans, items for each row of docs against one slice."""
-    spark = docs.sparkSession
-    index = Index([(r[0], r[1]) for r in items.collect()], window, shingle)
-    shared = spark.sparkContext.broadcast(index)
-
-    def rarity(batches: Iterator[list[list]]) -> Iterator[list]:
-        ix = shared.value
-        totals = {k: np.zeros(len(v), dtype=np.int64) for k, v in ix.known.items()}
-        for (texts,) in batches:
-            for k, at in ix.seen(ix.read(texts)[0]):
-                totals[k] += np.bincount(at, minlength=len(totals[k]))
-        out = [(k, i, n) for k, v in totals.items() for i, n in enumerate(v.tolist()) if n]
-        yield [list(c) for c in zip(*out, strict=True)] if out else [[], [], []]
-
-    counted = map_columns(docs.select("text"), "k int, i int, n long", rarity).groupBy("k", "i").agg(F.sum("n").alias("n"))
-    index.order_by_rarity({(r["k"], r["i"]): r["n"] for r in counted.collect()})
-    ready = spark.sparkContext.broadcast(index)
+_indexes: dict[str, Index] = {}
 
-    def probe(batches: Iterator[list[list]]) -> Iterator[list]:
-        ix = ready.value
-        for ids_, rows, texts in batches:
-            ids, begins, n = ix.read(texts)
-            starts, found = ix.find(ids)
-            owner = np.searchsorted(begins, starts, side="right") - 1
-            spans, items = [[] for _ in texts], [[] for _ in texts]
-            for d in np.unique(owner).tolist():
-                at, win = starts[owner == d] - begins[d], found[owner == d]
-                spans[d] = _spans(at, at + ix.lengths[win])
-                items[d] = sorted({o for w in np.unique(win).tolist() for o in ix.owners[w]})
-            yield [ids_, rows, n.tolist(), spans, items]
 
-    return map_columns(docs.select("row_id", "row", "text"), "row_id long, row binary, n_words long, spans array<int>, items array<string>", probe)
+def _load(path: str) -> Index:
+    """The index of a slice; a worker keeps the last one only."""
+    if path not in _indexes:
+        _indexes.clear()
+        store, name = filesystem(path)
+        with store.open_input_stream(name) as f:
+            _indexes[path] = pickle.loads(f.read())
+    return _indexes[path]
+
+
+def _save(index: Index, folder: str, slice_: int) -> str:
+    store, root = filesystem(folder)
+    store.create_dir(root, recursive=True)
+    name = f"slice-{slice_:06d}-{uuid.uuid4().hex}.index"
+    with store.open_output_stream(f"{root}/{name}") as f:
+        f.write(pickle.dumps(index))
+    return f"{folder}/{name}"
+
+
+def _chunks(batches: Iterator[list[list]]) -> Iterator[list[list[list]]]:
+    """Batches (texts last) in lists of CHUNK_BYTES of text about."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += sum(len(t or "") for t in batch[-1])
+        if size >= CHUNK_BYTES:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def _indexes_of(docs: DataFrame, items: DataFrame, window: int, shingle: int) -> list[str]:
+    """Paths of the finished index of each slice of items (slice, item, text)."""
+    spark = docs.sparkSession
+    folder = new_path(spark, "decontam-index")
+
+    def build(table: pa.Table) -> pa.Table:
+        index = Index(list(zip(table.column("item").to_pylist(), table.column("text").to_pylist(), strict=True)), window, shingle)
+        at = table.column("slice")[0].as_py()
+        return pa.table({"slice": pa.array([at], pa.int32()), "path": [_save(index, folder, at)]})
+
+    made = stage(items.groupBy("slice").applyInArrow(build, "slice int, path string"), "decontam-slices")
+    paths = {r["slice"]: r["path"] for r in made.collect()}
+
+    def count(batches: Iterator[list[list]]) -> Iterator[list]:
+        totals: dict[tuple[int, int], np.ndarray] = {}
+
+        def out() -> Iterator[list]:
+            for (at, k), n in totals.items():
+                seen = np.flatnonzero(n)
+                yield [[at] * len(seen), [k] * len(seen), seen.tolist(), n[seen].tolist()]
+            totals.clear()
+
+        for chunk in _chunks(batches):
+            for at, path in paths.items():
+                index = _load(path)
+                for (texts,) in chunk:
+                    for k, found in index.seen(index.read(texts)[0]):
+                        if (at, k) not in totals:
+                            totals[at, k] = np.zeros(len(index.known[k]), dtype=np.int64)
+                        totals[at, k] += np.bincount(found, minlength=len(index.known[k]))
+                if sum(map(len, totals.values())) > HELD_COUNTS:
+                    yield from out()
+        yield from out()
+
+    def finish(table: pa.Table) -> pa.Table:
+        at = table.column("slice")[0].as_py()
+        index = _load(paths[at])
+        _indexes.clear()
+        k, i, n = (table.column(c).to_numpy() for c in ("k", "i", "n"))
+        index.order_by_rarity({int(x): (i[k == x], n[k == x]) for x in np.unique(k) if x > 0})
+        return pa.table({"slice": pa.array([at], pa.int32()), "path": [_save(index, folder, at)]})
+
+    counted = map_columns(docs.select("text"), "slice int, k int, i int, n long", count).groupBy("slice", "k", "i").agg(F.sum("n").alias("n"))
+    every = made.select("slice", F.lit(0).alias("k"), F.lit(0).alias("i"), F.lit(0).cast("long").alias("n"))
+    done = stage(counted.unionByName(every).groupBy("slice").applyInArrow(finish, "slice int, path string"), "decontam-ordered")
+    return [r["path"] for r in done.orderBy("slice").collect()]
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, shingle: int = SHINGLE, slice_bytes: int = SLICE_BYTES, with_row: bool = False) -> DataFrame:
@@ -189,31 +271,41 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     with spans (begin and end of hit words in turn) and items; with_row adds row, a key of
     the row's id and text.
 
-    Null texts and items have no words and hit nothing; items without an id are left out;
-    rows of one item id count as one item. Empty tables give no rows or no hits. A document
-    is contaminated when at least a twentieth of its words is hit.
+    Null texts and items have no words and hit nothing; items without an id count in
+    n_hit, but not among items; rows of one item id count as one item. Empty tables give
+    no rows or no hits. Repeated rows give repeated results. A document is contaminated
+    when at least a twentieth of its words is hit.
     """
     spark = prepare(docs.sparkSession)
     src = docs.select(F.col(id_col).cast("long").alias("row_id"), row_key(id_col, text_col), F.col(text_col).alias("text"))
-    marks = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text).alias("text")).dropna().distinct()
+    marks = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text).alias("text")).dropna(subset=["text"]).distinct()
     size = marks.agg(F.coalesce(F.sum(F.octet_length("text") + 8), F.lit(0))).first()[0]
     slices = max(1, -(-size // slice_bytes))
-    cut = marks.withColumn("slice", F.pmod(F.xxhash64("item", "text"), F.lit(slices)))
-    found = [_search(src, cut.where(F.col("slice") == s).select("item", "text"), window, shingle) for s in range(slices)]
-    out = found[0]
-    if slices > 1:
-        hits = found[0].select("row", "spans", "items")
-        for f in found[1:]:
-            hits = hits.unionByName(f.select("row", "spans", "items"))
-        hits = stage(hits.where(F.size("spans") > 0).distinct(), "decontam-hits").groupBy("row").agg(F.flatten(F.collect_list("spans")).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-
-        def unite(batches: Iterator[list[list]]) -> Iterator[list]:
-            for rows, spans, items in batches:
-                yield [rows, [_spans(np.array(x[::2]), np.array(x[1::2])) for x in spans], items]
-
-        hits = map_columns(hits, "row binary, spans array<int>, items array<string>", unite)
-        none = F.array().cast("array<int>"), F.array().cast("array<string>")
-        out = found[0].select("row_id", "row", "n_words").join(hits, "row", "left").withColumn("spans", F.coalesce("spans", none[0])).withColumn("items", F.coalesce("items", none[1]))
+    cut = marks.withColumn("slice", F.pmod(F.xxhash64("item", "text"), F.lit(slices)).cast("int"))
+    paths = _indexes_of(src, cut, window, shingle)
+
+    def probe(batches: Iterator[list[list]]) -> Iterator[list]:
+        for chunk in _chunks(batches):
+            n_words: list[list[int]] = [[len(words_of(t)) for t in b[-1]] for b in chunk] if not paths else [[] for _ in chunk]
+            spans: list[dict[int, list]] = [{} for _ in chunk]
+            items: list[dict[int, set]] = [{} for _ in chunk]
+            for path in paths:
+                index = _load(path)
+                for c, (*_, texts) in enumerate(chunk):
+                    ids, begins, n = index.read(texts)
+                    n_words[c] = n.tolist()
+                    starts, found = index.find(ids)
+                    owner = np.searchsorted(begins, starts, side="right") - 1
+                    for d in np.unique(owner).tolist():
+                        at, win = starts[owner == d] - begins[d], np.unique(found[owner == d])
+                        spans[c].setdefault(d, []).append((at, at + index.lengths[found[owner == d]]))
+                        own = np.concatenate([index.owners[index.bounds[w] : index.bounds[w + 1]] for w in win.tolist()])
+                        items[c].setdefault(d, set()).update(index.names[x] for x in np.unique(own).tolist())
+            for c, (ids_, rows, texts) in enumerate(chunk):
+                united = [_spans(*map(np.concatenate, zip(*spans[c][d], strict=True))) if d in spans[c] else [] for d in range(len(texts))]
+                yield [ids_, rows, n_words[c], united, [sorted(items[c].get(d, ())) for d in range(len(texts))]]
+
+    out = map_columns(src.select("row_id", "row", "text"), "row_id long, row binary, n_words long, spans array<int>, items array<string>", probe)
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: x.cast("long") - a)  # begin, end, ...: the alternating sum
     out = out.withColumn("n_hit", F.coalesce(hit, F.lit(0).cast("long")))
     return out.select(

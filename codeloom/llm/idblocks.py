@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import map_columns
+from codeloom.llm.common import filesystem, map_columns
 from codeloom.runtime import new_path, prepare, stage
 
 MAGIC = b"PFOR1\0\0\0"
@@ -239,12 +239,6 @@ def _encoder(spec: str) -> Encoder:
     return _encoders[key]
 
 
-def _filesystem(uri: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}")
-
-
 def write_ids(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """Writes files of ids in ascending id order (nulls first); returns their table:
     part, seq, path, n_docs, n_ids, in order by part and seq, with start, the ids before.
@@ -262,7 +256,7 @@ def write_ids(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text
 
     def run(batches: Iterator[list[list]]) -> Iterator[list]:
         encoder, part, seq = _encoder(shared.value), TaskContext.get().partitionId(), 0
-        store, root = _filesystem(path)
+        store, root = filesystem(path)
         store.create_dir(root, recursive=True)
         names, held, size = [], [], 0
 
@@ -320,7 +314,7 @@ def read_ids(files: DataFrame, id_col: str = "doc_id", with_ids: bool = True) ->
         _encoders.clear()  # pieces that a reused worker remembers from writing
         for paths, starts, roots in batches:
             for p, start, root in zip(paths, starts, roots, strict=True):
-                store, _ = _filesystem(root)
+                store, _ = filesystem(root)
                 with store.open_input_stream(p) as f:
                     names, documents = from_bytes(f.read())
                 n = np.array([len(d) for d in documents], dtype=np.int64)

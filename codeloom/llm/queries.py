@@ -92,7 +92,7 @@ ORACLE: dict[str, str] = {
         it AS (
             SELECT item_id,
                    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
-            FROM benchmark WHERE item_id IS NOT NULL),
+            FROM benchmark),
         ip AS (SELECT item_id, w, unnest(range(1, greatest(1, len(w) - 12) + 1)) AS p FROM it WHERE len(w) > 0),
         iw AS (SELECT DISTINCT item_id, least(13, len(w)) AS n, array_to_string(w[p : p + 12], ' ') AS s FROM ip),
         ns AS (SELECT DISTINCT n FROM iw),
@@ -100,7 +100,7 @@ ORACLE: dict[str, str] = {
         dw AS (SELECT r, p, n, array_to_string(w[p : p + n - 1], ' ') AS s FROM dp, ns WHERE p + n - 1 <= len(w)),
         hit AS (SELECT r, p, iw.n, item_id FROM dw JOIN iw ON dw.n = iw.n AND dw.s = iw.s),
         pos AS (SELECT r, count(DISTINCT q) AS n_hit FROM (SELECT r, unnest(range(p, p + n)) AS q FROM hit) GROUP BY r),
-        its AS (SELECT r, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS l FROM (SELECT DISTINCT r, item_id::VARCHAR AS i FROM hit) GROUP BY r)
+        its AS (SELECT r, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS l FROM (SELECT DISTINCT r, item_id::VARCHAR AS i FROM hit WHERE item_id IS NOT NULL) GROUP BY r)
         SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
                sha256(coalesce(l, '')) AS items_sha256,
                coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated

@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+from codeloom.llm import decontam
 from codeloom.llm.decontam import contamination
 
 
@@ -12,7 +13,7 @@ def words(text):
 
 def brute(docs, items, window):
     out = []
-    own = [(str(i), words(t)) for i, t in items if i is not None]
+    own = [(i if i is None else str(i), words(t)) for i, t in items]
     for d, text in docs:
         w = words(text)
         hit, found = set(), set()
@@ -22,7 +23,7 @@ def brute(docs, items, window):
                 for p in range(len(w) - size + 1):
                     if w[p : p + size] == v[k : k + size]:
                         hit |= set(range(p, p + size))
-                        found.add(name)
+                        found |= {name} - {None}
         digest = hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
         out.append((d, len(w), len(hit), len(found), digest, bool(hit) and 20 * len(hit) >= len(w)))
     return sorted(out, key=str)
@@ -32,7 +33,7 @@ def take(df):
     return sorted([(r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in df.collect()], key=str)
 
 
-def test_equals_brute_force(spark):
+def test_equals_brute_force(spark, monkeypatch):
     rng = random.Random(6)
     vocabulary = ["a", "b", "c", "dé", "E", "f1", "2"]
     text = lambda n: rng.choice(["", " "]).join("") + " ".join(rng.choice(vocabulary) + rng.choice(["", ",", "\n"]) for _ in range(n))
@@ -44,6 +45,9 @@ def test_equals_brute_force(spark):
     want = brute(docs, items, 6)
     assert take(contamination(df, marks, window=6)) == want
     assert take(contamination(df, marks, window=6, slice_bytes=60)) == want
+    monkeypatch.setattr(decontam, "CHUNK_BYTES", 50)
+    monkeypatch.setattr(decontam, "HELD_COUNTS", 10)
+    assert take(contamination(df, marks, window=6, slice_bytes=200)) == want
 
 
 def test_hard_rows(spark, hard, empty):
@@ -52,3 +56,22 @@ def test_hard_rows(spark, hard, empty):
     assert take(contamination(hard, marks)) == brute(rows, [(5, "Quick brown fox"), (6, "")], 13)
     assert contamination(empty, marks).count() == 0
     assert {r.n_hit for r in contamination(hard, marks.limit(0)).collect()} == {0}
+
+
+def test_index_of_a_large_benchmark_is_compact():
+    """About 3 MB of items, a third of them equal: bytes of the index for each byte of text."""
+    import pickle
+
+    rng = random.Random(12)
+    vocabulary = [f"w{i}" for i in range(30_000)]
+    same = " ".join(rng.choices(vocabulary, k=60))
+    items = [(f"i{i}", same if i % 3 == 0 else " ".join(rng.choices(vocabulary, k=60))) for i in range(9_000)]
+    size = sum(len(t) for _, t in items)
+    index = decontam.Index(items)
+    index.order_by_rarity({})
+    assert len(pickle.dumps(index)) < 8 * size
+    ids, begins, n = index.read(["x y " + same + " z", "nothing here"])
+    starts, found = index.find(ids)
+    assert sorted(starts.tolist()) == list(range(2, 2 + 48))
+    w = int(found[0])
+    assert index.bounds[w + 1] - index.bounds[w] == 3_000
