@@ -12,6 +12,9 @@ from pyspark.sql.types import StructType
 
 from codeloom.runtime import checked_broadcast, stage
 
+#: Keys at most that join_counted takes as hot.
+HOT_KEYS = 50_000
+
 
 def map_columns(df: DataFrame, schema: str, run: Callable[[Iterator[list[list]]], Iterator[list]]) -> DataFrame:
     """df.mapInArrow where run sees each batch as lists, one per column, and yields lists for schema.
@@ -76,3 +79,16 @@ def once(docs: DataFrame, key: Column, repeated: DataFrame) -> DataFrame:
     picked = keyed.join(again, F.col(own) == F.col(name), "left_semi").groupBy(own).agg(*picks)
     one = picked.select(*[(F.col("x").getField(c) if c in ordered else F.col(f"l{loose.index(c)}")).alias(c) for c in docs.columns])
     return keyed.join(again, F.col(own) == F.col(name), "left_anti").drop(own).unionByName(one)
+
+
+def join_counted(left: DataFrame, right: DataFrame, keys: list[str], n: str = "n") -> DataFrame:
+    """left joined with right, which has one row for each key and in n the rows of left that have it.
+
+    Keys with more than 1 / HOT_KEYS of the rows, of which there can be no more than
+    HOT_KEYS, are joined by broadcast; all other keys are small and may be shuffled.
+    n isn't in the result. Both sides are read twice, so they should be staged tables.
+    """
+    bound = (right.agg(F.sum(n)).first()[0] or 0) // HOT_KEYS + 1
+    hot = F.broadcast(right.where(F.col(n) > bound).drop(n))
+    rest = left.join(F.broadcast(right.where(F.col(n) > bound).select(*keys)), keys, "left_anti")
+    return left.join(hot, keys).unionByName(rest.join(right.where(F.col(n) <= bound).drop(n), keys))

@@ -32,7 +32,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import map_columns, row_key
+from codeloom.llm.common import join_counted, map_columns, row_key
 from codeloom.llm.components import components, forest
 from codeloom.runtime import checked_broadcast, prepare, stage
 
@@ -161,8 +161,9 @@ def link_fingerprints(fps: DataFrame, count: int) -> DataFrame:
     fps: one column fp of distinct values; count: its rows, which only size the bins.
     """
     bins = BINS
-    while bins < 65_536 and count * 560 / bins > BIN_VARIANTS:
+    while count * 560 / bins > BIN_VARIANTS:
         bins *= 2
+    batch = BATCH * max(1, bins // 4096)  # so that a bin's share of a batch doesn't shrink to nothing
 
     def emit(batches: Iterator[list[list]]) -> Iterator[list]:
         masks = _Masks(bins)
@@ -173,19 +174,28 @@ def link_fingerprints(fps: DataFrame, count: int) -> DataFrame:
             v = np.array(values, dtype=np.int64).view(np.uint64)
             code, odd = masks.code(v).astype(np.int64), (np.bitwise_count(v) & 1).astype(bool)
             blobs, bins_ = [], []
-            for b in range(bins):
-                rest = code ^ b
-                own = v[np.where(odd, present[1][rest], present[0][rest])]
-                if len(own):
-                    bins_.append(b)
-                    blobs.append(own.tobytes())
-            return [bins_, blobs]
+            if bins <= 1024:
+                for b in range(bins):
+                    rest = code ^ b
+                    own = v[np.where(odd, present[1][rest], present[0][rest])]
+                    if len(own):
+                        bins_.append(b)
+                        blobs.append(own.tobytes())
+                return [bins_, blobs]
+            # with many bins: the bins of each fingerprint, and one sort of all by bin
+            at = [(code[odd == p][:, None] ^ np.flatnonzero(present[p])[None, :]).ravel() for p in (0, 1)]
+            who = [np.repeat(v[odd == p], present[p].sum()) for p in (0, 1)]
+            at, who = np.concatenate(at), np.concatenate(who)
+            order = np.argsort(at, kind="stable")
+            at, who = at[order], who[order]
+            first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(at) else []
+            return [at[first].tolist(), [x.tobytes() for x in np.split(who, first[1:])]] if len(at) else [[], []]
 
         for (values,) in batches:
             held += values
-            while len(held) >= BATCH:
-                yield out(held[:BATCH])
-                held = held[BATCH:]
+            while len(held) >= batch:
+                yield out(held[:batch])
+                held = held[batch:]
         if held:
             yield out(held)
 
@@ -222,13 +232,13 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     prepare(docs.sparkSession)
     rows = stage(fingerprints(docs, id_col, text_col, words), "simhash-rows")
-    fps = stage(rows.groupBy("fp").agg(F.min(id_col).alias("low")), "simhash-fps")
+    fps = stage(rows.groupBy("fp").agg(F.min(id_col).alias("low"), F.count("*").alias("n")), "simhash-fps")
     links = stage(link_fingerprints(fps, fps.count()).distinct(), "simhash-links")
     parts = components(links)
-    labelled = fps.join(parts, fps.fp == parts.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    named = labelled.groupBy("root").agg(F.min("low").alias("component_id"))
-    linked = labelled.where(F.col("root").isNotNull()).join(named, "root").select("fp", "component_id")
-    out = rows.join(linked, "fp")
+    labelled = stage(fps.join(parts, fps.fp == parts.node, "left").select("fp", "low", "n", F.coalesce("root", "fp").alias("root")), "simhash-roots")
+    named = labelled.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("m"))
+    linked = stage(join_counted(labelled, stage(named, "simhash-names"), ["root"], "m").select("fp", "component_id", "n"), "simhash-linked")
+    out = join_counted(rows, linked, ["fp"])
     return out.select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", *["row"] * with_row)
 
 
@@ -297,7 +307,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     src = docs.select(F.col(id_col).cast("long"), row_key(id_col, text_col), F.col(text_col))
     rows = stage(map_columns(src, f"`{id_col}` long, row binary, fp long, node long, keys array<long>", read), "similar-rows")
     own = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "row")
-    nodes = stage(rows.groupBy("node").agg(F.min(own).alias("low"), F.min("fp").alias("fp"), F.min("row").alias("row"), F.first("keys").alias("keys")), "similar-nodes")
+    nodes = stage(rows.groupBy("node").agg(F.min(own).alias("low"), F.min("fp").alias("fp"), F.min("row").alias("row"), F.first("keys").alias("keys"), F.count("*").alias("n")), "similar-nodes")
 
     # by balls: one node for each fingerprint, and the others of equal fingerprint beside it
     hubs = stage(nodes.groupBy("fp").agg(F.min("node").alias("hub")), "similar-fps")
@@ -343,7 +353,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     more = held.join(checked_broadcast(mixed, 32), "key").join(texts, "node").select("key", "node", "root", "t").groupBy("key").applyInArrow(across, "a long, b long")
     parts = components(links.unionByName(stage(more.distinct(), "similar-more")))
 
-    labelled = stage(nodes.select("node", "low").join(parts, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root")), "similar-roots")
-    named = labelled.groupBy("root").agg(F.min("low").alias("low")).select("root", F.col("low.id").alias("component_id"), F.col("low.row").alias("keep_row"))
-    out = rows.join(labelled.drop("low").join(named, "root").select("node", "component_id", "keep_row"), "node")
+    labelled = stage(nodes.select("node", "low", "n").join(parts, "node", "left").select("node", "low", "n", F.coalesce("root", "node").alias("root")), "similar-roots")
+    named = labelled.groupBy("root").agg(F.min("low").alias("low"), F.count("*").alias("m")).select("root", F.col("low.id").alias("component_id"), F.col("low.row").alias("keep_row"), "m")
+    named = join_counted(labelled.drop("low"), stage(named, "similar-names"), ["root"], "m").select("node", "component_id", "keep_row", "n")
+    out = join_counted(rows, stage(named, "similar-linked"), ["node"])
     return out.select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", *["row", "keep_row"] * with_row)

@@ -51,6 +51,32 @@ def test_every_pair_within_three_bits_meets():
             assert not any(len(bin_links(np.array([x, z], dtype=np.uint64), b, masks)[0]) for b in range(256))
 
 
+def test_all_flips_of_up_to_three_bits_share_a_variant():
+    """Every mask of 1 to 3 bits, from fingerprints of both parities: a variant that one side reaches by one flip."""
+    from itertools import combinations
+
+    masks = _Masks(256)
+    single = [{int(m) for m in k[:64]} for k in masks.masks]
+    every = [{int(m) for m in k} for k in masks.masks]
+    for size in (1, 2, 3):
+        for bits in combinations(range(64), size):
+            m = sum(1 << b for b in bits)
+            for p in (0, 1):  # x of parity p and x ^ m of parity q: x ^ a = x ^ m ^ b, one of a and b a single flip
+                q = (p + size) & 1
+                assert any(m ^ a in every[q] for a in single[p]) or any(m ^ b in every[p] for b in single[q]), (bits, p)
+
+
+def test_many_bins_send_the_same(spark, monkeypatch):
+    rng = random.Random(11)
+    fps = [_signed(rng.getrandbits(64)) for _ in range(150)]
+    fps += [_signed((x % (1 << 64)) ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64))) for x in fps[:60]]
+    df = spark.createDataFrame([(x,) for x in sorted(set(fps))], "fp long")
+    few = {tuple(r) for r in components(link_fingerprints(df, 10).distinct()).collect()}
+    monkeypatch.setattr("codeloom.llm.simhash.BIN_VARIANTS", 60)
+    many = {tuple(r) for r in components(link_fingerprints(df, len(fps)).distinct()).collect()}
+    assert few == many and len(few) >= 100
+
+
 def test_links_equal_brute_force(spark):
     rng = random.Random(7)
     fps = []
