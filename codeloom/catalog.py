@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions import text as T
-from codeloom.operators import clones, dashboard, lookup, resolve, reviews
+from codeloom.operators import clones, dashboard, depend, lookup, notes, packs, resolve, reviews, search
 from codeloom.operators import graph as G
 from codeloom.plans.star import graph, with_graph
+from codeloom.runtime import prepare, stage
 from codeloom.sources import tree
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,28 +41,82 @@ def _name(spark: SparkSession, sf_dir: str) -> str:
     return _table(spark, sf_dir, "part").agg(F.min("p_name")).first()[0]
 
 
-_CAND = """, rel AS (SELECT r.*, s.file_id AS from_file, f.language AS want FROM relations r JOIN symbols s ON s.symbol_id = r.from_symbol_id JOIN files f ON f.file_id = s.file_id WHERE NOT external),
-cand AS (SELECT rel.relation_id, t.symbol_id, t.file_id, t.line, t.col FROM rel JOIN symbols t ON t.name = rel.to_name JOIN files tf ON tf.file_id = t.file_id AND tf.language = rel.want
-  WHERE (rel.target_file IS NULL OR rel.target_file = t.file_id) AND (NOT rel.member OR t.kind = 'method') AND NOT (rel.kind = 'calls' AND t.kind = 'module')),
-n AS (SELECT relation_id, count(*) AS n_candidates, min(symbol_id) AS target_id FROM cand GROUP BY relation_id),
-hits AS (SELECT r.*, coalesce(n_candidates, 0) AS n_candidates, target_id,
+_CAND = """, rel AS (
+  SELECT r.*, c.file_id AS from_file, coalesce(r.target_language, cf.language) AS want
+  FROM relations r JOIN symbols c ON c.symbol_id = r.from_symbol_id JOIN files cf ON cf.file_id = c.file_id WHERE NOT external AND targets_parsed),
+t AS (
+  SELECT s.*, f.language, f.relative_path,
+    kind = 'module' AND EXISTS (SELECT 1 FROM symbols x WHERE x.file_id = s.file_id AND x.name = s.name AND x.parent IS NOT DISTINCT FROM s.parent AND x.kind <> 'module') AS shadowed,
+    kind = 'function' AND EXISTS (SELECT 1 FROM symbols p WHERE p.file_id = s.file_id AND p.kind IN ('function', 'method') AND p.symbol_id <> s.symbol_id
+      AND (p.line < s.line OR (p.line = s.line AND p.col < s.col))
+      AND (p.end_line > s.end_line OR (p.line = s.line AND p.end_line = s.line AND s.end_line = s.line AND p.col + p.byte_len >= s.col + s.byte_len))) AS nested,
+    kind = 'variable' AND EXISTS (SELECT 1 FROM symbols p WHERE p.file_id = s.file_id AND p.name = s.parent AND p.kind IN ('function', 'method'))
+      AND NOT EXISTS (SELECT 1 FROM symbols p WHERE p.file_id = s.file_id AND p.name = s.parent AND p.kind NOT IN ('function', 'method', 'variable', 'constant', 'field')) AS is_local
+  FROM symbols s JOIN files f ON f.file_id = s.file_id),
+file_modules AS (
+  SELECT file_id, name AS module FROM symbols WHERE kind = 'module'
+  UNION SELECT file_id, alias FROM symbols JOIN symbol_aliases USING (symbol_id) WHERE kind = 'module'),
+up AS (
+  SELECT DISTINCT f.language, s.name AS sub, r.to_name AS sup FROM relations r JOIN symbols s ON s.symbol_id = r.from_symbol_id JOIN files f ON f.file_id = s.file_id WHERE r.kind IN ('extends', 'implements')),
+anc(qualifier, language, name, depth) AS (
+  SELECT DISTINCT qualifier, want, qualifier, 0 FROM rel WHERE qualifier IS NOT NULL
+  UNION SELECT a.qualifier, a.language, up.sup, a.depth + 1 FROM anc a JOIN up ON up.sub = a.name AND up.language = a.language WHERE a.depth < 8),
+members AS (SELECT DISTINCT language, parent, name FROM t WHERE parent IS NOT NULL),
+inherited AS (
+  SELECT DISTINCT qualifier, language, to_name, holder FROM (
+    SELECT a.qualifier, a.language, m.name AS to_name, m.parent AS holder, depth, min(depth) OVER (PARTITION BY a.qualifier, a.language, m.name) AS nearest
+    FROM anc a JOIN members m ON m.language = a.language AND m.parent = a.name) WHERE depth = nearest AND nearest > 0),
+named AS (
+  SELECT relation_id, symbol_id FROM rel JOIN t ON t.name = rel.to_name AND t.language = rel.want
+  UNION SELECT relation_id, symbol_id FROM rel JOIN symbol_aliases ON alias = rel.to_name WHERE target_kind = 'module' AND target_path IS NULL),
+cand AS (
+  SELECT rel.relation_id, t.symbol_id, t.file_id, t.line, t.col
+  FROM named JOIN rel ON rel.relation_id = named.relation_id JOIN t ON t.symbol_id = named.symbol_id
+  WHERE t.language = want
+    AND (qualifier IS NULL OR t.parent = qualifier OR starts_with(t.parent, qualifier || '<')
+      OR EXISTS (SELECT 1 FROM inherited h WHERE h.qualifier = rel.qualifier AND h.language = want AND h.to_name = rel.to_name AND h.holder = t.parent))
+    AND (target_path IS NULL OR t.relative_path = target_path)
+    AND (rel.module IS NULL OR t.parent = rel.module
+      OR EXISTS (SELECT 1 FROM symbols pt WHERE pt.file_id = t.file_id AND pt.name = t.parent AND pt.parent = rel.module)
+      OR contains('/' || replace(t.relative_path, '-', '_'), '/' || rel.module || '/') OR contains('/' || replace(t.relative_path, '-', '_'), '/' || rel.module || '.'))
+    AND (NOT member OR t.kind = 'method') AND (NOT not_field OR t.kind <> 'field') AND (NOT top_level OR t.kind NOT IN ('method', 'field'))
+    AND (NOT t.file_scoped OR t.file_id = from_file) AND (target_kind IS NULL OR t.kind = target_kind)
+    AND (target_module IS NULL OR EXISTS (SELECT 1 FROM file_modules m WHERE m.file_id = t.file_id AND m.module = target_module)
+      OR (t.parent IS DISTINCT FROM qualifier AND EXISTS (SELECT 1 FROM symbols qt JOIN file_modules m ON m.file_id = qt.file_id WHERE qt.name = qualifier AND qt.parent IS NULL AND m.module = target_module)))
+    AND NOT (rel.kind = 'calls' AND t.kind = 'module')
+    AND NOT (rel.kind IN ('extends', 'implements') AND t.language IN ('csharp', 'cpp') AND t.kind IN ('method', 'function', 'field', 'variable', 'constant'))
+    AND (t.file_id = from_file OR NOT (is_local OR nested))
+    AND NOT (shadowed AND rel.kind <> 'imports' AND target_kind IS NULL)),
+n AS (SELECT relation_id, count(*) AS n_candidates, min(symbol_id) AS target_id, count(DISTINCT file_id) AS n_files, min(file_id) AS target_file FROM cand GROUP BY relation_id),
+hits AS (SELECT r.*, coalesce(n_candidates, 0) AS n_candidates, target_id, coalesce(n_files, 0) AS n_files, target_file,
   CASE WHEN external THEN 'external' WHEN coalesce(n_candidates, 0) = 0 THEN 'unresolved' WHEN n_candidates = 1 AND NOT member THEN 'resolved' ELSE 'ambiguous' END AS resolution,
-  CASE WHEN external THEN 'syntax' WHEN coalesce(n_candidates, 0) = 0 THEN 'none' WHEN n_candidates = 1 AND NOT member THEN CASE WHEN target_file IS NOT NULL THEN 'declared' ELSE 'name' END
+  CASE WHEN external THEN 'syntax' WHEN coalesce(n_candidates, 0) = 0 THEN 'none'
+       WHEN n_candidates = 1 AND NOT member THEN CASE WHEN coalesce(qualifier, target_path, module, target_module) IS NOT NULL THEN 'declared' ELSE 'name' END
        WHEN member THEN 'receiver' ELSE 'candidates' END AS evidence
   FROM relations r LEFT JOIN n USING (relation_id)),
 edges AS (SELECT DISTINCT from_symbol_id AS src, target_id AS dst FROM hits WHERE resolution = 'resolved'),
-imports AS (SELECT DISTINCT a.file_id AS src_file, b.file_id AS dst_file FROM edges JOIN symbols a ON a.symbol_id = src JOIN symbols b ON b.symbol_id = dst WHERE a.file_id <> b.file_id) """
+imports AS (SELECT DISTINCT a.file_id AS src_file, target_file AS dst_file FROM hits JOIN symbols a ON a.symbol_id = from_symbol_id
+  WHERE hits.kind = 'imports' AND NOT external AND NOT member AND n_files = 1 AND a.file_id <> target_file) """
 
 
-def _hits(spark: SparkSession, sf_dir: str):
+def _hits(spark: SparkSession, sf_dir: str, where: str | None = None, starts: DataFrame | None = None):
+    """The graph, and its relations' hits; where and starts (from_symbol_id) pick relations first."""
     g = graph(spark, sf_dir)
-    found = resolve.candidates(g.relations, g.symbols, g.files)
-    return g, found, resolve.relation_hits(g.relations, found)
+    own = g.relations if where is None else g.relations.where(where)
+    own = own if starts is None else own.join(starts, "from_symbol_id", "left_semi")
+    return g, resolve.relation_hits(own, g.symbols, g.files, g.aliases, g.relations)
 
 
 def _edges(spark: SparkSession, sf_dir: str):
-    g, _, hits = _hits(spark, sf_dir)
-    return g, resolve.resolved_edges(hits)
+    """The graph and its resolved edges, written once: walks read them level by level."""
+    g, hits = _hits(spark, sf_dir)
+    prepare(spark)
+    return g, stage(resolve.resolved_edges(hits).distinct(), "edges")
+
+
+def _imports(spark: SparkSession, sf_dir: str):
+    g, hits = _hits(spark, sf_dir, "kind = 'imports'")
+    return g, resolve.file_imports(hits, g.symbols)
 
 
 @_register(f"SELECT symbol_id, name, kind, relative_path, line FROM symbols JOIN files USING (file_id) WHERE name = {NAME_SQL}")
@@ -93,91 +148,100 @@ def symbols_page(spark, sf_dir):
     return lookup.page(lookup.located(g.symbols, g.files), ["relative_path", "line", "col", "symbol_id"], 50, 100).select("symbol_id", "relative_path", "line", "col")
 
 
-@_register("SELECT DISTINCT '' AS dir, split_part(relative_path, '/', 1) AS name, true AS is_dir, 0 AS omitted FROM files UNION ALL SELECT split_part(relative_path, '/', 1), split_part(relative_path, '/', 2), false, 0 FROM files")
+@_register(
+    """, p AS (SELECT string_split(relative_path, '/') AS p FROM files), l AS (SELECT p, unnest(range(1, least(len(p), 2) + 1)) AS n FROM p)
+SELECT DISTINCT array_to_string(p[1 : n - 1], '/') AS dir, p[n] AS name, n < len(p) AS is_dir, 0 AS omitted, n < len(p) AND n = 2 AS depth_exhausted FROM l"""
+)
 def file_tree(spark, sf_dir):
-    return lookup.file_tree(graph(spark, sf_dir).files).withColumn("omitted", F.col("omitted").cast("int"))
+    return lookup.file_tree(graph(spark, sf_dir).files, depth=2).withColumn("omitted", F.col("omitted").cast("int"))
 
 
-@_register("SELECT symbol_id, name FROM symbols s WHERE NOT EXISTS (SELECT 1 FROM symbols p WHERE p.file_id = s.file_id AND p.name = s.parent)")
+@_register("SELECT symbol_id, name FROM symbols s WHERE NOT EXISTS (SELECT 1 FROM symbols p WHERE p.file_id = s.file_id AND p.name = s.parent AND p.kind <> 'module')")
 def file_skeleton(spark, sf_dir):
     return lookup.skeleton(graph(spark, sf_dir).symbols).select("symbol_id", "name")
 
 
-@_register(_CAND + "SELECT relation_id, symbol_id FROM cand")
+#: Relations whose candidates are written out one by one: those from every hundredth caller.
+_ASKED = "from_symbol_id % 100 = 3"
+
+
+@_register(_CAND + f"SELECT relation_id, symbol_id FROM cand JOIN relations USING (relation_id) WHERE {_ASKED}")
 def relation_candidates(spark, sf_dir):
-    return _hits(spark, sf_dir)[1].select("relation_id", "symbol_id")
+    g = graph(spark, sf_dir)
+    return resolve.candidates(g.relations.where(_ASKED), g.symbols, g.files, g.aliases, g.relations).select("relation_id", "symbol_id")
 
 
-@_register(_CAND + "SELECT relation_id, kind, to_name, n_candidates, target_id, resolution, evidence FROM hits")
+@_register(_CAND + "SELECT relation_id, kind, to_name, n_candidates, n_files, target_id, resolution, evidence FROM hits")
 def relation_resolution(spark, sf_dir):
-    return _hits(spark, sf_dir)[2].select("relation_id", "kind", "to_name", "n_candidates", "target_id", "resolution", "evidence")
+    return _hits(spark, sf_dir)[1].select("relation_id", "kind", "to_name", "n_candidates", "n_files", "target_id", "resolution", "evidence")
 
 
-@_register(_CAND + "SELECT relation_id, symbol_id, rank FROM (SELECT relation_id, symbol_id, row_number() OVER (PARTITION BY relation_id ORDER BY relative_path, line, symbol_id) AS rank FROM cand JOIN files USING (file_id)) WHERE rank <= 3")
+@_register(_CAND + f"SELECT relation_id, symbol_id, rank FROM (SELECT relation_id, symbol_id, row_number() OVER (PARTITION BY relation_id ORDER BY relative_path, cand.line, symbol_id) AS rank FROM cand JOIN files USING (file_id) JOIN relations USING (relation_id) WHERE {_ASKED}) WHERE rank <= 3")
 def candidate_preview(spark, sf_dir):
-    g, found, _ = _hits(spark, sf_dir)
+    g = graph(spark, sf_dir)
+    found = resolve.candidates(g.relations.where(_ASKED), g.symbols, g.files, g.aliases, g.relations)
     return resolve.preview(found, g.files).select("relation_id", "symbol_id", F.col("rank").cast("long").alias("rank"))
 
 
 @_register(_CAND + f"SELECT relation_id, from_symbol_id, resolution, evidence FROM hits WHERE kind = 'calls' AND to_name = {NAME_SQL}")
 def find_callers(spark, sf_dir):
-    hits = _hits(spark, sf_dir)[2]
-    return hits.where((F.col("kind") == "calls") & (F.col("to_name") == _name(spark, sf_dir))).select("relation_id", "from_symbol_id", "resolution", "evidence")
+    name = _name(spark, sf_dir).replace("'", "\\'")
+    return _hits(spark, sf_dir, f"kind = 'calls' AND to_name = '{name}'")[1].select("relation_id", "from_symbol_id", "resolution", "evidence")
 
 
 @_register(_CAND + f"SELECT relation_id, from_symbol_id, kind, resolution FROM hits WHERE to_name = {NAME_SQL} ORDER BY relation_id LIMIT 50")
 def find_references_page(spark, sf_dir):
-    hits = _hits(spark, sf_dir)[2].where(F.col("to_name") == _name(spark, sf_dir))
-    return lookup.page(hits, ["relation_id"], 50).select("relation_id", "from_symbol_id", "kind", "resolution")
+    name = _name(spark, sf_dir).replace("'", "\\'")
+    return lookup.page(_hits(spark, sf_dir, f"to_name = '{name}'")[1], ["relation_id"], 50).select("relation_id", "from_symbol_id", "kind", "resolution")
+
+
+def _own(spark, sf_dir, name: str) -> DataFrame:
+    return graph(spark, sf_dir).symbols.where(F.col("name") == name).select(F.col("symbol_id").alias("from_symbol_id"))
 
 
 @_register(_CAND + "SELECT relation_id, to_name, target_id FROM hits JOIN symbols ON symbol_id = from_symbol_id WHERE name = 'order_7' AND hits.kind = 'calls'")
 def find_calls(spark, sf_dir):
-    g, _, hits = _hits(spark, sf_dir)
-    own = g.symbols.where("name = 'order_7'").select(F.col("symbol_id").alias("from_symbol_id"))
-    return hits.where("kind = 'calls'").join(own, "from_symbol_id").select("relation_id", "to_name", "target_id")
+    return _hits(spark, sf_dir, "kind = 'calls'", _own(spark, sf_dir, "order_7"))[1].select("relation_id", "to_name", "target_id")
 
 
 @_register(_CAND + "SELECT relation_id, to_name, hits.kind FROM hits JOIN symbols ON symbol_id = from_symbol_id WHERE name = 'order_7' AND hits.kind <> 'calls'")
 def find_dependencies(spark, sf_dir):
-    g, _, hits = _hits(spark, sf_dir)
-    own = g.symbols.where("name = 'order_7'").select(F.col("symbol_id").alias("from_symbol_id"))
-    return hits.where("kind <> 'calls'").join(own, "from_symbol_id").select("relation_id", "to_name", "kind")
+    return _hits(spark, sf_dir, "kind <> 'calls'", _own(spark, sf_dir, "order_7"))[1].select("relation_id", "to_name", "kind")
 
 
 _START = "(SELECT symbol_id FROM symbols WHERE name IN ('order_3', 'order_6', 'order_9', 'order_12', 'order_30'))"
 
 
+def _starts(g) -> DataFrame:
+    return g.symbols.where(F.col("name").isin(*[f"order_{i}" for i in (3, 6, 9, 12, 30)])).select(F.col("symbol_id").alias("node"))
+
+
 @_register(_CAND + f", w(node, depth) AS (SELECT symbol_id, 0 FROM symbols WHERE symbol_id IN {_START} UNION SELECT dst, depth + 1 FROM w JOIN edges ON src = node WHERE depth < 4) SELECT node, min(depth) AS depth FROM w GROUP BY node")
 def calls_walk(spark, sf_dir):
     g, edges = _edges(spark, sf_dir)
-    return G.walk(edges, g.symbols.where(F.col("name").isin(*[f"order_{i}" for i in (3, 6, 9, 12, 30)])).select(F.col("symbol_id").alias("node")), 4)
+    return G.walk(edges, _starts(g), 4)
 
 
 @_register(_CAND + f", w(node, depth) AS (SELECT symbol_id, 0 FROM symbols WHERE symbol_id IN {_START} UNION SELECT src, depth + 1 FROM w JOIN edges ON dst = node WHERE depth < 4) SELECT node, min(depth) AS depth FROM w GROUP BY node")
 def impact_walk(spark, sf_dir):
     g, edges = _edges(spark, sf_dir)
-    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    return G.walk(back, g.symbols.where(F.col("name").isin(*[f"order_{i}" for i in (3, 6, 9, 12, 30)])).select(F.col("symbol_id").alias("node")), 4)
+    return G.walk(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), _starts(g), 4)
 
 
 @_register(_CAND + "SELECT * FROM imports")
 def direct_file_imports(spark, sf_dir):
-    g, edges = _edges(spark, sf_dir)
-    return resolve.file_imports(edges, g.symbols)
+    return _imports(spark, sf_dir)[1]
 
 
 @_register(_CAND + ", c(a, b) AS (SELECT src_file, dst_file FROM imports UNION SELECT a, dst_file FROM c JOIN imports ON src_file = b) SELECT min(y.a) AS component, x.a AS node FROM c x JOIN c y ON x.a = y.b AND x.b = y.a GROUP BY x.a")
 def find_cycles(spark, sf_dir):
-    g, edges = _edges(spark, sf_dir)
-    return G.cycles(resolve.file_imports(edges, g.symbols).select(F.col("src_file").alias("src"), F.col("dst_file").alias("dst")))
+    return G.cycles(_imports(spark, sf_dir)[1].select(F.col("src_file").alias("src"), F.col("dst_file").alias("dst")))
 
 
 @_register(_CAND + "SELECT split_part(a.relative_path, '/', 1) AS src_dir, split_part(b.relative_path, '/', 1) AS dst_dir, count(*) AS weight FROM imports JOIN files a ON a.file_id = src_file JOIN files b ON b.file_id = dst_file GROUP BY 1, 2")
 def module_graph(spark, sf_dir):
-    g, edges = _edges(spark, sf_dir)
+    g, imports = _imports(spark, sf_dir)
     d = g.files.select("file_id", F.split("relative_path", "/")[0].alias("dir"))
-    imports = resolve.file_imports(edges, g.symbols)
     a, b = d.toDF("src_file", "src_dir"), d.toDF("dst_file", "dst_dir")
     return imports.join(a, "src_file").join(b, "dst_file").groupBy("src_dir", "dst_dir").agg(F.count("*").alias("weight"))
 
@@ -198,16 +262,39 @@ def language_coverage(spark, sf_dir):
     return g.files.join(g.symbols, "file_id", "left").groupBy("language").agg(F.countDistinct("file_id").alias("n_files"), F.count("symbol_id").alias("n_symbols"))
 
 
-@_register(
+_DEAD = (
     _CAND
-    + """, names AS (SELECT name, count(*) AS n FROM symbols GROUP BY name),
-used AS (SELECT s.symbol_id FROM symbols s JOIN names USING (name) JOIN relations r ON r.to_name = s.name WHERE n = 1 AND NOT external AND from_symbol_id <> s.symbol_id
-  UNION SELECT cand.symbol_id FROM cand JOIN symbols s USING (symbol_id) JOIN names USING (name) WHERE n > 1)
-SELECT symbol_id, name, kind FROM symbols WHERE kind IN ('function', 'method', 'class') AND name <> 'main' AND symbol_id NOT IN (SELECT symbol_id FROM used)"""
+    + """, kinds AS (SELECT unnest(['function', 'class', 'struct', 'interface', 'enum', 'trait', 'type_alias']) AS kind),
+homonyms AS (SELECT name FROM symbols GROUP BY name HAVING count(*) > 1 AND count(*) FILTER (WHERE kind IN (SELECT kind FROM kinds)) > 0),
+told AS (SELECT name FROM homonyms WHERE name NOT IN (SELECT to_name FROM hits WHERE NOT external AND (member OR n_candidates <> 1))),
+by_name AS (SELECT DISTINCT to_name AS name FROM hits r JOIN symbols c ON c.symbol_id = r.from_symbol_id
+  WHERE NOT external AND to_name NOT IN (SELECT name FROM told) AND (r.kind <> 'calls' OR to_name <> c.name OR (SELECT count(*) FROM symbols s WHERE s.name = r.to_name) > 1)),
+meant AS (SELECT DISTINCT s.file_id, s.line, s.name FROM relations r JOIN cand USING (relation_id) JOIN symbols s ON s.symbol_id = cand.symbol_id
+  WHERE r.to_name IN (SELECT name FROM told) AND NOT external AND NOT (r.kind = 'calls' AND s.symbol_id = r.from_symbol_id)),
+dead AS (SELECT s.symbol_id, s.name, s.kind FROM symbols s JOIN files f USING (file_id) WHERE kind IN (SELECT kind FROM kinds) AND name <> 'main'
+  AND NOT (regexp_matches(lower(relative_path), '(^|/)(tests|test|__tests__)/') OR lower(name) = 'test' OR starts_with(lower(name), 'test_'))
+  AND name NOT IN (SELECT name FROM by_name) AND NOT EXISTS (SELECT 1 FROM meant m WHERE m.file_id = s.file_id AND m.line = s.line AND m.name = s.name)) """
 )
+
+
+def _dead(spark: SparkSession, sf_dir: str):
+    g, hits = _hits(spark, sf_dir)
+    return g, resolve.dead_symbols(g.symbols, g.files, hits, dashboard.is_test(F.col("relative_path"), F.col("name")))
+
+
+@_register(_DEAD + "SELECT * FROM dead")
 def find_dead_code(spark, sf_dir):
-    g, found, _ = _hits(spark, sf_dir)
-    return resolve.dead_symbols(g.symbols, g.relations, found).select("symbol_id", "name", "kind")
+    return _dead(spark, sf_dir)[1].select("symbol_id", "name", "kind")
+
+
+@_register(
+    _DEAD
+    + """SELECT symbol_id, framework, rule, evidence FROM dead JOIN symbol_entry_points e USING (symbol_id) JOIN dependencies d ON d.manifest_path = requires_manifest AND d.name = requires_package
+WHERE coalesce(TRY_CAST(regexp_extract(d.version, '^[^0-9]*([0-9]+)', 1) AS INT) >= requires_min_major, true)"""
+)
+def dead_code_entry_points(spark, sf_dir):
+    g, dead = _dead(spark, sf_dir)
+    return resolve.possible_entry_points(dead, g.entry_points, g.dependencies)
 
 
 @_register(
@@ -248,36 +335,67 @@ def bm25_documents(spark, sf_dir):
     return T.bm25(docs, "doc_id", words, TERMS).select("doc_id", F.round("score", 6).alias("score"))
 
 
-@_register("SELECT doc_id, source FROM documents WHERE contains(lower(text), 'all rights reserved')", over_graph=False)
+_PHRASE = """WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(strip_accents(text)), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL),
+    f AS (SELECT doc_id, len(w) AS d, len(list_filter(range(1, len(w) + 1), lambda i: w[i : i + 2] = ['all', 'rights', 'reserved'])) AS f FROM w),
+    c AS (SELECT count(*) AS n, avg(d) AS mean, count(*) FILTER (WHERE f > 0) AS df FROM f)
+    SELECT doc_id, round(-(CASE WHEN ln((n - df + 0.5) / (df + 0.5)) > 0 THEN ln((n - df + 0.5) / (df + 0.5)) ELSE 1e-6 END) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * d / mean)), 6) AS score FROM f, c WHERE f > 0 ORDER BY score, doc_id LIMIT 200"""
+
+
+@_register(_PHRASE, over_graph=False)
 def phrase_search(spark, sf_dir):
-    return _table(spark, sf_dir, "documents").where(F.lower("text").contains("all rights reserved")).select("doc_id", "source")
+    docs = _table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", "text")
+    hits = search.phrase_scores(docs, "doc_id", "text", "All rights reserved")
+    return hits.select("doc_id", F.round("score", 6).alias("score")).orderBy("score", "doc_id").limit(search.MAX_LITERALS)
 
 
-_COS = "WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = (SELECT min(vec_id) FROM embeddings)), s AS (SELECT vec_id, label, list_dot_product(embedding::DOUBLE[], e::DOUBLE[]) / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) * list_dot_product(e::DOUBLE[], e::DOUBLE[])) AS c FROM embeddings, q) "
+_DOT = "list_dot_product({a}.embedding::DOUBLE[], {b}.embedding::DOUBLE[])"
+_COS = (
+    "WITH q AS (SELECT vec_id AS query_id, embedding FROM embeddings WHERE vec_id % 100 = 0), "
+    f"s AS (SELECT query_id, vec_id, label, {_DOT.format(a='e', b='q')} / sqrt({_DOT.format(a='e', b='e')} * {_DOT.format(a='q', b='q')}) AS c FROM embeddings e, q) "
+)
+#: Queries that meet all rows at a time, as columns of one pass.
+QUERY_BLOCK = 64
 
 
 def _similar(spark, sf_dir):
+    """(query_id, vec_id, label, c): all rows against the queries (ids divisible by 100), which go to
+    the rows in broadcast blocks."""
     e = _table(spark, sf_dir, "embeddings")
-    query = e.orderBy("vec_id").select("embedding").first()[0]
-    return e.withColumn("c", T.cosine(F.col("embedding"), F.lit(query)))
+    unit = lambda v: F.transform(v, lambda x: x.cast("double"))
+    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), unit(F.col("embedding")).alias("q"))
+    blocks = q.groupBy(F.pmod(F.xxhash64("query_id"), F.greatest(F.lit(1), F.floor(F.col("query_id") / (100 * QUERY_BLOCK)) + 1)).alias("b")).agg(F.collect_list(F.struct("query_id", "q")).alias("qs"))
+    met = e.select("vec_id", "label", unit(F.col("embedding")).alias("v")).crossJoin(F.broadcast(blocks.select("qs")))
+    scored = F.transform("qs", lambda x: F.struct(x["query_id"].alias("query_id"), T.cosine(x["q"], F.col("v")).alias("c")))
+    return met.select("vec_id", "label", F.explode(scored).alias("s")).select("s.query_id", "vec_id", "label", "s.c")
 
 
-@_register(_COS + "SELECT vec_id, label, round(c, 6) AS similarity FROM s ORDER BY c DESC, vec_id LIMIT 20", over_graph=False)
+@_register(_COS + "SELECT query_id, vec_id, label, round(c, 6) AS similarity FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY c DESC, vec_id) <= 20", over_graph=False)
 def semantic_top_k(spark, sf_dir):
-    return _similar(spark, sf_dir).orderBy(F.col("c").desc(), "vec_id").limit(20).select("vec_id", "label", F.round("c", 6).alias("similarity"))
+    w = Window.partitionBy("query_id").orderBy(F.col("c").desc(), "vec_id")
+    return _similar(spark, sf_dir).withColumn("k", F.row_number().over(w)).where("k <= 20").select("query_id", "vec_id", "label", F.round("c", 6).alias("similarity"))
+
+
+_LEXICAL = _bm25_sql(TERMS).replace("SELECT doc_id, round(-(", "SELECT doc_id, (-(").replace("), 6) AS score", ")) AS score")
 
 
 @_register(
-    _COS
-    + ", a AS (SELECT vec_id, row_number() OVER (ORDER BY c DESC, vec_id) AS r FROM s QUALIFY r <= 200), b AS (SELECT vec_id, row_number() OVER (ORDER BY label, vec_id) AS r FROM embeddings QUALIFY r <= 200) "
-    "SELECT vec_id, round(coalesce(0.5 / (10 + b.r), 0) + coalesce(0.5 / (10 + a.r), 0), 9) AS score FROM a FULL JOIN b USING (vec_id)",
+    f"WITH lexical AS (SELECT doc_id, row_number() OVER (ORDER BY score, doc_id) AS r FROM (SELECT doc_id, round(score, 6) AS score FROM ({_LEXICAL})) QUALIFY r <= 200), "
+    + _COS.removeprefix("WITH ").rstrip()
+    + ", a AS (SELECT vec_id, row_number() OVER (ORDER BY round(c, 6) DESC, vec_id) AS r FROM s WHERE query_id = (SELECT min(query_id) FROM q) QUALIFY r <= 200) "
+    "SELECT coalesce(vec_id, doc_id) AS doc_id, round(coalesce(0.5 / (10 + lexical.r), 0) + coalesce(0.5 / (10 + a.r), 0), 9) AS score FROM a FULL JOIN lexical ON vec_id = doc_id",
     over_graph=False,
 )
 def hybrid_fusion(spark, sf_dir):
+    """Documents by BM25 and, where a vector has their id, by similarity to the first query."""
     e = _similar(spark, sf_dir)
+    first = e.agg(F.min("query_id").alias("query_id"))
+    near = e.join(F.broadcast(first), "query_id").select(F.col("vec_id").alias("doc_id"), F.round("c", 6).alias("c"))
+    docs = _table(spark, sf_dir, "documents")
+    words = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    lexical = T.bm25(docs, "doc_id", words, TERMS).select("doc_id", F.round("score", 6).alias("score"))
     # windows over 200 rows only: each list is cut first
-    rank = lambda df, *o: df.orderBy(*o).limit(200).withColumn("rank", F.row_number().over(Window.orderBy(*o))).select("vec_id", "rank")
-    return T.reciprocal_ranks(rank(e, "label", "vec_id"), rank(e, F.col("c").desc(), "vec_id"), "vec_id", 0.5).select("vec_id", F.round("score", 9).alias("score"))
+    rank = lambda df, *o: df.orderBy(*o).limit(200).withColumn("rank", F.row_number().over(Window.orderBy(*o))).select("doc_id", "rank")
+    return T.reciprocal_ranks(rank(lexical, "score", "doc_id"), rank(near, F.col("c").desc(), "doc_id"), "doc_id", 0.5).select("doc_id", F.round("score", 9).alias("score"))
 
 
 @_register("SELECT sha1('blob ' || strlen(text) || chr(0) || text) AS blob_id, count(*) AS n FROM documents GROUP BY 1", over_graph=False)
@@ -290,14 +408,29 @@ def token_estimates(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select("doc_id", T.estimate_tokens(F.col("text")).alias("tokens"))
 
 
-@_register("SELECT count(*) AS members, min(doc_id) AS first FROM documents WHERE len(regexp_extract_all(text, '[\\p{L}_][\\p{L}\\p{N}_]*|\\p{N}+|[^\\s\\p{L}\\p{N}_]')) >= 40 GROUP BY array_to_string(regexp_extract_all(text, '[\\p{L}_][\\p{L}\\p{N}_]*|\\p{N}+|[^\\s\\p{L}\\p{N}_]'), chr(31)) HAVING count(*) > 1", over_graph=False)
+@_register("SELECT count(*) AS members, min(doc_id) AS first FROM documents WHERE len(regexp_extract_all(text, '[\\p{L}_][\\p{L}\\p{N}_]*|\\p{N}+|[^\\s\\p{L}\\p{N}_]')) >= 40 AND len(string_split(text, chr(10))) >= 6 GROUP BY lang, array_to_string(regexp_extract_all(text, '[\\p{L}_][\\p{L}\\p{N}_]*|\\p{N}+|[^\\s\\p{L}\\p{N}_]'), chr(31)) HAVING count(*) > 1", over_graph=False)
 def clone_groups_exact(spark, sf_dir):
-    return clones.clone_groups(_table(spark, sf_dir, "documents"), "doc_id", "text").select("members", "first")
+    return clones.clone_groups(_table(spark, sf_dir, "documents"), "doc_id", "text", language="lang").select("members", "first")
 
 
-@_register("SELECT count(*) AS members, min(doc_id) AS first FROM documents WHERE len(regexp_extract_all(text, '[\\p{L}_][\\p{L}\\p{N}_]*|\\p{N}+|[^\\s\\p{L}\\p{N}_]')) >= 40 GROUP BY array_to_string(list_transform(regexp_extract_all(text, '[\\p{L}_][\\p{L}\\p{N}_]*|\\p{N}+|[^\\s\\p{L}\\p{N}_]'), lambda x: CASE WHEN regexp_matches(x, '^[\\p{L}_]') THEN 'I' WHEN regexp_matches(x, '^\\p{N}') THEN 'L' ELSE x END), chr(31)) HAVING count(*) > 1", over_graph=False)
+@_register("SELECT count(*) AS members, min(doc_id) AS first FROM documents WHERE len(regexp_extract_all(text, '[\\p{L}_][\\p{L}\\p{N}_]*|\\p{N}+|[^\\s\\p{L}\\p{N}_]')) >= 40 AND len(string_split(text, chr(10))) >= 6 GROUP BY lang, array_to_string(list_transform(regexp_extract_all(text, '[\\p{L}_][\\p{L}\\p{N}_]*|\\p{N}+|[^\\s\\p{L}\\p{N}_]'), lambda x: CASE WHEN regexp_matches(x, '^[\\p{L}_]') THEN 'I' WHEN regexp_matches(x, '^\\p{N}') THEN 'L' ELSE x END), chr(31)) HAVING count(*) > 1", over_graph=False)
 def clone_groups_broad(spark, sf_dir):
-    return clones.clone_groups(_table(spark, sf_dir, "documents"), "doc_id", "text", "broad").select("members", "first")
+    return clones.clone_groups(_table(spark, sf_dir, "documents"), "doc_id", "text", "broad", language="lang").select("members", "first")
+
+
+_TOKENS = "regexp_extract_all(text, '[\\p{L}_][\\p{L}\\p{N}_]*|\\p{N}+|[^\\s\\p{L}\\p{N}_]')"
+
+
+@_register(
+    f"""WITH t AS (SELECT doc_id, lang, {_TOKENS} AS t FROM documents WHERE len({_TOKENS}) >= 40 AND len(string_split(text, chr(10))) >= 6),
+p AS (SELECT doc_id, lang, unnest(t) AS x, generate_subscripts(t, 1) AS i FROM t),
+f AS (SELECT doc_id, x, row_number() OVER (PARTITION BY doc_id ORDER BY min(i)) AS k FROM p WHERE regexp_matches(x, '^[\\p{{L}}_]') GROUP BY doc_id, x),
+n AS (SELECT p.doc_id, lang, string_agg(CASE WHEN k IS NOT NULL THEN '#' || k WHEN regexp_matches(p.x, '^\\p{{N}}') THEN 'L' ELSE p.x END, chr(31) ORDER BY i) AS s FROM p LEFT JOIN f ON f.doc_id = p.doc_id AND f.x = p.x GROUP BY p.doc_id, lang)
+SELECT count(*) AS members, min(doc_id) AS first FROM n GROUP BY lang, s HAVING count(*) > 1""",
+    over_graph=False,
+)
+def clone_groups_consistent(spark, sf_dir):
+    return clones.clone_groups(_table(spark, sf_dir, "documents"), "doc_id", "text", "consistent", language="lang").select("members", "first")
 
 
 @_register("SELECT lang, source, count(*) AS n FROM documents GROUP BY lang, source", over_graph=False)
@@ -345,12 +478,12 @@ def latency_percentiles(spark, sf_dir):
 
 @_register(
     """, s AS (SELECT kind, language, count(*) AS n FROM symbols JOIN files USING (file_id) GROUP BY kind, language)
-SELECT 'kind' AS facet, kind AS value, sum(n)::BIGINT AS n FROM s WHERE language IN ('asia', 'europe') GROUP BY kind
+SELECT 'kind' AS facet, kind AS value, sum(n)::BIGINT AS n FROM s WHERE language IN ('cpp', 'python') GROUP BY kind
 UNION ALL SELECT 'language', language, sum(n)::BIGINT FROM s WHERE kind IN ('function', 'class') GROUP BY language"""
 )
 def symbol_facets(spark, sf_dir):
     g = graph(spark, sf_dir)
-    return dashboard.facets(lookup.located(g.symbols, g.files), {"kind": ["function", "class"], "language": ["asia", "europe"]})
+    return dashboard.facets(lookup.located(g.symbols, g.files), {"kind": ["function", "class"], "language": ["cpp", "python"]})
 
 
 @_register(
@@ -451,6 +584,114 @@ def http_join_points(spark, sf_dir):
     return dashboard.join_points(uses, declares)
 
 
+_WORDS = "list_filter(regexp_split_to_array(lower(regexp_replace(regexp_replace({c}, '([\\p{{Ll}}\\p{{N}}])(\\p{{Lu}})', '\\1 \\2', 'g'), '(\\p{{Lu}})(\\p{{Lu}}\\p{{Ll}})', '\\1 \\2', 'g')), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"
+
+
+def _search_sql(terms: list[str], query: str) -> str:
+    glued = "".join(terms)
+    held = " AND ".join(f"f{i} > 0" for i in range(len(terms)))
+    counts = ", ".join(f"len(list_filter(w, lambda x: starts_with(x, '{t}'))) AS f{i}" for i, t in enumerate(terms))
+    totals = ", ".join(f"count(*) FILTER (WHERE f{i} > 0) AS n{i}" for i in range(len(terms)))
+    score = " + ".join(f"(CASE WHEN ln((n - n{i} + 0.5) / (n{i} + 0.5)) > 0 THEN ln((n - n{i} + 0.5) / (n{i} + 0.5)) ELSE 1e-6 END) * f{i} * 2.2 / (f{i} + 1.2 * (0.25 + 0.75 * d / mean))" for i in range(len(terms)))
+    return f""", s AS (SELECT symbol_id, name, {_WORDS.format(c='name')} AS own FROM symbols),
+g AS (SELECT symbol_id, name, array_to_string(own, '') AS compact, CASE WHEN len(own) > 1 THEN list_append(own, array_to_string(own, '')) ELSE own END AS w FROM s),
+f AS (SELECT symbol_id, name, compact, len(w) AS d, {counts} FROM g), c AS (SELECT count(*) AS n, avg(d) AS mean, {totals} FROM f)
+SELECT symbol_id, CASE WHEN lower(name) = '{query}' THEN 0 WHEN compact = '{glued}' THEN 1 WHEN starts_with(lower(name), '{query}') OR starts_with(compact, '{glued}') THEN 2 ELSE 3 END AS tier,
+round(-({score}), 6) AS score FROM f, c WHERE {held}"""
+
+
+@_register(_search_sql(["red", "g"], "red g"))
+def search_symbols(spark, sf_dir):
+    g = graph(spark, sf_dir)
+    hits = search.search_symbols(lookup.located(g.symbols, g.files), "red g")
+    return hits.select("symbol_id", "tier", F.round("score", 6).alias("score"))
+
+
+@_register(f", s AS (SELECT symbol_id, name, {_WORDS.format(c='name')} AS w FROM symbols) SELECT symbol_id, CASE WHEN lower(name) = 'anvil' THEN 0 WHEN w = ['anvil'] THEN 1 ELSE 2 END AS tier FROM s WHERE list_contains(w, 'anvil')")
+def search_names_phrase(spark, sf_dir):
+    g = graph(spark, sf_dir)
+    return search.search_phrase(lookup.located(g.symbols, g.files), "anvil").select("symbol_id", "tier")
+
+
+@_register(_CAND + "SELECT a.relative_path AS src, b.relative_path AS dst FROM imports JOIN files a ON a.file_id = src_file JOIN files b ON b.file_id = dst_file WHERE src_file = 7")
+def dependency_graph(spark, sf_dir):
+    g, imports = _imports(spark, sf_dir)
+    module = g.files.where("file_id = 7").first()["relative_path"]
+    return depend.dependency_graph(imports, g.files, module, 1).select("src", "dst")
+
+
+@_register(
+    _CAND
+    + """, i AS (SELECT hits.*, a.file_id AS src_file FROM hits JOIN symbols a ON a.symbol_id = from_symbol_id WHERE hits.kind = 'imports')
+SELECT relation_id, to_name, CASE WHEN external THEN 'external' WHEN n_files = 1 AND NOT member THEN 'file'
+  WHEN EXISTS (SELECT 1 FROM i o WHERE o.src_file = i.src_file AND o.to_name = i.to_name AND o.n_files = 1 AND NOT o.external AND NOT o.member) THEN 'restated'
+  WHEN n_candidates > 0 THEN 'ambiguous' ELSE 'unresolved' END AS target FROM i"""
+)
+def import_targets(spark, sf_dir):
+    g, hits = _hits(spark, sf_dir, "kind = 'imports'")
+    return depend.import_targets(hits, g.symbols)
+
+
+@_register(_CAND + "SELECT relation_id, from_symbol_id FROM hits WHERE kind = 'calls' AND resolution = 'resolved' AND target_id % 8 = 3")
+def relations_reaching_methods(spark, sf_dir):
+    """Identity hops: relations proven to reach symbols of a kind, by id."""
+    g, hits = _hits(spark, sf_dir, "kind = 'calls'")
+    methods = g.symbols.where("symbol_id % 8 = 3").select(F.col("symbol_id").alias("target_id"))
+    return hits.where("resolution = 'resolved'").join(methods, "target_id", "left_semi").select("relation_id", "from_symbol_id")
+
+
+@_register(
+    _CAND
+    + f""", back AS (SELECT dst AS src, src AS dst FROM edges), w(node, depth) AS (SELECT symbol_id, 0 FROM symbols WHERE symbol_id IN {_START} UNION SELECT dst, depth + 1 FROM w JOIN back ON src = node WHERE depth < 8)
+SELECT node AS symbol_id, min(depth) AS depth FROM w JOIN symbols ON symbol_id = node JOIN files USING (file_id)
+WHERE kind <> 'module' AND (regexp_matches(lower(relative_path), '(^|/)(tests|test|__tests__)/') OR lower(name) = 'test' OR starts_with(lower(name), 'test_')) GROUP BY node"""
+)
+def affected_tests(spark, sf_dir):
+    g, edges = _edges(spark, sf_dir)
+    walked = G.walk(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), _starts(g), 8)
+    return dashboard.affected_tests(walked, g.symbols, g.files).select("symbol_id", "depth")
+
+
+@_register(
+    _CAND
+    + f""", starts AS (SELECT unnest([x.symbol_id]) AS node FROM (SELECT symbol_id FROM symbols WHERE name = 'order_9') x),
+sure AS (SELECT from_symbol_id, target_id, kind FROM hits WHERE resolution = 'resolved'),
+part AS (
+  SELECT node, 'definition' AS role, 0 AS hop, true AS certain FROM starts
+  UNION SELECT target_id, CASE WHEN kind = 'calls' THEN 'callee' ELSE 'dependency' END, 1, true FROM sure WHERE from_symbol_id IN (SELECT node FROM starts) AND target_id NOT IN (SELECT node FROM starts)
+  UNION SELECT from_symbol_id, CASE WHEN kind = 'calls' THEN 'caller' ELSE 'reference' END, 1, true FROM sure WHERE target_id IN (SELECT node FROM starts) AND from_symbol_id NOT IN (SELECT node FROM starts)
+  UNION SELECT target_id, CASE WHEN kind = 'calls' THEN 'callee' ELSE 'dependency' END, 1, false FROM hits WHERE resolution = 'ambiguous' AND target_id IS NOT NULL AND from_symbol_id IN (SELECT node FROM starts)),
+tagged AS (SELECT node, role, hop, certain FROM part UNION SELECT node, 'test', hop, certain FROM part JOIN symbols ON symbol_id = node JOIN files USING (file_id)
+  WHERE role IN ('caller', 'reference') AND kind <> 'module' AND (regexp_matches(lower(relative_path), '(^|/)(tests|test|__tests__)/') OR lower(name) = 'test' OR starts_with(lower(name), 'test_')))
+SELECT node AS symbol_id, CASE WHEN bool_or(role = 'definition') THEN 'definition' ELSE string_agg(DISTINCT role, ',' ORDER BY role) END AS roles, min(hop) AS hop, bool_or(certain) AS certain FROM tagged GROUP BY node"""
+)
+def context_pack(spark, sf_dir):
+    g, hits = _hits(spark, sf_dir)
+    starts = g.symbols.where("name = 'order_9'").select(F.col("symbol_id").alias("node"))
+    pack = packs.context_pack(starts, stage(hits, "pack-hits"), g.symbols, g.files)
+    return pack.select("symbol_id", F.array_join("roles", ",").alias("roles"), "hop", "certain")
+
+
+@_register("SELECT manifest_path, language, version FROM dependencies WHERE name = 'pkg3'")
+def declared_dependency(spark, sf_dir):
+    return depend.declared(graph(spark, sf_dir).dependencies, "pkg3")
+
+
+@_register(
+    """WITH e AS (SELECT event_type AS kind, user_id AS identity FROM events), k AS (SELECT DISTINCT kind, identity::VARCHAR AS identity FROM e WHERE identity % 3 = 0),
+known AS (SELECT kind, identity, (row_number() OVER (PARTITION BY kind ORDER BY identity) * 2)::INT AS number FROM k), top AS (SELECT kind, max(number) AS top FROM known GROUP BY kind),
+fresh AS (SELECT DISTINCT kind, identity::VARCHAR AS identity FROM e WHERE (kind, identity::VARCHAR) NOT IN (SELECT (kind, identity) FROM known))
+SELECT kind, identity, number FROM known UNION ALL SELECT kind, identity, (coalesce(top, 0) + row_number() OVER (PARTITION BY kind ORDER BY identity))::INT FROM fresh LEFT JOIN top USING (kind)""",
+    over_graph=False,
+)
+def finding_numbers(spark, sf_dir):
+    e = _table(spark, sf_dir, "events").select(F.col("event_type").alias("kind"), "user_id")
+    ids = lambda df: df.select("kind", F.col("user_id").cast("string").alias("identity")).distinct()
+    w = Window.partitionBy("kind").orderBy("identity")
+    known = ids(e.where("user_id % 3 = 0")).withColumn("number", (F.row_number().over(w) * 2).cast("int"))
+    return notes.numbered(ids(e), known)
+
+
 def entry(spark: SparkSession) -> DataFrame:
     return relation_resolution(spark, "/root/testdata/sf0.001")
 

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codeloom.runtime import prepare, stage
+
 #: Constants of the BM25 weighting.
 K1, B = 1.2, 0.75
 
@@ -46,27 +48,22 @@ def cosine(a: Column, b: Column) -> Column:
 def bm25(docs: DataFrame, key: str, words: Column, terms: list[str], prefix: bool = False) -> DataFrame:
     """(key, matched, score) of rows that hold a term; a lower score is a better match.
 
-    Only the postings of the query's terms are kept, so what is shuffled is bounded by their
-    occurrences; N and the mean length cover all rows.
+    Texts are split once: a row becomes its length and one count a term, which are written
+    down; N, the mean length and the terms' document counts are one sum over those.
     """
-    src = docs.select(key, words.alias("w")).withColumn("d", F.size("w"))
-    n, mean = src.agg(F.count("*"), F.avg("d")).first()
-
-    def occurrences(t: str) -> Column:
-        return F.size(F.filter("w", lambda w: w.startswith(t) if prefix else w == F.lit(t)))
-
-    hits = [occurrences(t).alias(f"f{i}") for i, t in enumerate(terms)]
-    got = src.select(key, "d", *hits).where(" OR ".join(f"f{i} > 0" for i in range(len(terms))))
-    frequency = got.agg(*[F.sum((F.col(f"f{i}") > 0).cast("int")).alias(f"f{i}") for i in range(len(terms))]).first()
-    score = F.lit(0.0)
-    matched = F.lit(0)
+    prepare(docs.sparkSession)
+    same = lambda t: (lambda w: w.startswith(t)) if prefix else (lambda w: w == F.lit(t))
+    counts = [F.size(F.filter("w", same(t))).alias(f"f{i}") for i, t in enumerate(terms)]
+    src = stage(docs.select(key, words.alias("w")).select(key, F.size("w").alias("d"), *counts), "bm25-counts")
+    total = src.agg(F.count("*").alias("n"), F.avg("d").alias("mean"), *[F.sum((F.col(f"f{i}") > 0).cast("int")).alias(f"n{i}") for i in range(len(terms))]).first()
+    score, matched = F.lit(0.0), F.lit(0)
     for i in range(len(terms)):
-        df = frequency[i] or 0
-        idf = math.log((n - df + 0.5) / (df + 0.5))
+        df = total[f"n{i}"] or 0
+        idf = math.log((total["n"] - df + 0.5) / (df + 0.5))
         f = F.col(f"f{i}").cast("double")
-        score = score - (idf if idf > 0 else 1e-6) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("d") / (mean or 1.0)))
+        score = score - (idf if idf > 0 else 1e-6) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("d") / (total["mean"] or 1.0)))
         matched = matched + (F.col(f"f{i}") > 0).cast("int")
-    return got.select(key, matched.alias("matched"), score.alias("score"))
+    return src.where(" OR ".join(f"f{i} > 0" for i in range(len(terms)))).select(key, matched.alias("matched"), score.alias("score"))
 
 
 def reciprocal_ranks(left: DataFrame, right: DataFrame, key: str, alpha: float, k: int = 10) -> DataFrame:

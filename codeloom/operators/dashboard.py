@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 
 def is_test(path: Column, name: Column) -> Column:
-    """Whether a path or a name looks like a test's."""
+    """Whether a path or a name looks like a test's: a test folder in any case, a file's name by
+    one of the usual forms (only ...Test. with its capital), a symbol called test or test_..."""
     file = F.element_at(F.split(path, "/"), -1)
-    by_path = path.rlike(r"(?:^|/)(?:tests|test|__tests__)/") | file.rlike(r"^[^.]*Test\.|^test_|_test(?:\.|$)|\.test\.|\.spec\.")
-    return by_path | (name == "test") | name.startswith("test_")
+    low = F.lower(file)
+    by_path = F.lower(path).rlike(r"(?:^|/)(?:tests|test|__tests__)/") | file.rlike(r"^[^.]+Test(?:\.|$)") | low.rlike(r"^test_|^test(?:\.|$)|^[^.]*_test(?:\.|$)|\.test\.|\.spec\.")
+    return by_path | (F.lower(name) == "test") | F.lower(name).startswith("test_")
 
 
 def affected_tests(walked: DataFrame, symbols: DataFrame, files: DataFrame) -> DataFrame:

@@ -79,3 +79,10 @@ def checked_broadcast(df: DataFrame, row_bytes: int, rows: int | None = None, li
     (a shuffled join then, with AQE splitting skewed partitions)."""
     rows = df.count() if rows is None else rows
     return F.broadcast(df) if small_enough(rows, row_bytes, limit) else df
+
+
+def filesystem(uri: str):
+    """The Arrow file system of a path, and the path in it."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}")

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-POINTER = "CURRENT"
+#: The file that names the published version, and seconds after which an unfinished version may be taken over.
+POINTER, CLAIM_SECONDS = "CURRENT", 3_600
 
 
 def _files(spark: SparkSession, root: str):
@@ -26,18 +30,43 @@ def generation(spark: SparkSession, root: str) -> int:
         stream.close()
 
 
-def publish(spark: SparkSession, root: str, tables: dict[str, DataFrame], seen: int) -> int:
+def _same(a: DataFrame, b: DataFrame) -> bool:
+    """Whether two tables hold the same rows, by their number and a sum of 64-bit hashes."""
+    if sorted(a.columns) != sorted(b.columns):
+        return False
+    columns = sorted(a.columns)
+    mark = lambda df: tuple(df.select(F.xxhash64(*[F.to_json(F.struct(*columns)) if columns else F.lit(0)]).cast("decimal(38,0)").alias("h")).agg(F.count("*"), F.sum("h")).first())
+    return mark(a) == mark(b)
+
+
+def publish(spark: SparkSession, root: str, tables: dict[str, DataFrame], seen: int, skip_same: bool = True) -> int:
     """Writes all tables as version seen + 1, then moves the pointer; readers of older versions
-    aren't disturbed. Fails, with nothing published, if another writer came first. One writer at a
-    time is assumed: the check and the move aren't one atomic step."""
+    aren't disturbed. If every table holds the rows of the published version, nothing is
+    published and seen is returned.
+
+    A version belongs to the writer that creates its CLAIM file, which is one step of the file
+    system: a second writer of the same version fails there, before it writes anything.
+    """
     if generation(spark, root) != seen:
         raise RuntimeError(f"version {seen} isn't the published one any more")
+    if skip_same and seen and all(_exists(spark, f"{root}/v{seen:08d}/{n}") and _same(snapshot(spark, root, n, seen), df) for n, df in tables.items()):
+        return seen
     now = seen + 1
-    for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{root}/v{now:08d}/{name}")
-    if generation(spark, root) != seen:
-        raise RuntimeError(f"version {seen} isn't the published one any more")
     fs, path = _files(spark, root)
+    fs.mkdirs(path(f"{root}/v{now:08d}"))
+    claim = path(f"{root}/v{now:08d}/CLAIM")
+    if fs.exists(claim) and time.time() - fs.getFileStatus(claim).getModificationTime() / 1000 > CLAIM_SECONDS:
+        fs.delete(claim, False)
+    try:
+        fs.create(claim, False).close()
+    except Exception as e:
+        raise RuntimeError(f"version {now} is being written by another writer") from e
+    try:
+        for name, df in tables.items():
+            df.write.mode("overwrite").parquet(f"{root}/v{now:08d}/{name}")
+    except BaseException:
+        fs.delete(claim, False)
+        raise
     fresh = path(f"{root}/{POINTER}.{now}")
     stream = fs.create(fresh, True)
     stream.write(bytearray(str(now).encode()))
@@ -50,6 +79,11 @@ def publish(spark: SparkSession, root: str, tables: dict[str, DataFrame], seen:
     return now
 
 
+def _exists(spark: SparkSession, at: str) -> bool:
+    fs, path = _files(spark, at)
+    return fs.exists(path(at))
+
+
 def snapshot(spark: SparkSession, root: str, name: str, version: int | None = None) -> DataFrame:
     """A table of one version, the published one by default; it stays the same while others are published."""
     version = generation(spark, root) if version is None else version

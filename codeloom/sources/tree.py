@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 import re
 import tomllib
 import xml.etree.ElementTree as ET
@@ -14,10 +15,37 @@ from pyspark.sql import functions as F
 
 from codeloom.runtime import prepare
 
-#: Larger files aren't read.
-MAX_BYTES = 16 << 20
-# Folders that are never scanned, whatever the rules say.
-ALWAYS_EXCLUDED = ".git .hg .svn node_modules target dist build __pycache__ .venv".split()
+#: Larger files aren't read; the environment may set another bound in bytes.
+MAX_BYTES, MAX_BYTES_ENV = 16 << 20, "CODELOOM_MAX_FILE_BYTES"
+# Folders and files that are never indexed, whatever the rules say: secrets, packages of others, tools' state.
+EXCLUDED_FOLDERS = "secrets secret .aws node_modules vendor .git target .next .claude".split() + [".codeloom"]
+EXCLUDED_FILES = "**/.env **/.env.* **/*.pem **/*.key **/credentials.json **/appsettings.*.json **/*.pfx **/*.snk **/gradle.properties **/*.env.local **/config/secrets.yaml".split()
+#: The file of a tree that holds its own rules, and the line in it that stands for the rules of .gitignore.
+RULES_FILE, IMPORT_LINE = ".codeloomignore", "@import-gitignore"
+
+
+def read_bound() -> int:
+    """MAX_BYTES, or what the environment asks for if that is a positive number."""
+    asked = os.environ.get(MAX_BYTES_ENV, "")
+    return int(asked) if asked.isascii() and asked.isdigit() and int(asked) > 0 else MAX_BYTES
+
+
+def expand_rules(rules: list[str], gitignore: list[str]) -> list[str]:
+    """rules with the import line replaced by the lines of .gitignore, where it stands."""
+    return [x for r in rules for x in (gitignore if r.strip() == IMPORT_LINE else [r])]
+
+
+def nested_rules(folder: str, lines: list[str]) -> list[str]:
+    """Rules of an ignore file in folder as rules of the root: a pattern stays below the folder."""
+    out = []
+    for line in lines:
+        text = line.strip()
+        if not text or text.startswith("#"):
+            continue
+        sign, body = ("!", text[1:]) if text.startswith("!") else ("", text)
+        anchored = "/" in body.rstrip("/")
+        out.append(f"{sign}/{folder}/{'' if anchored else '**/'}{body.lstrip('/')}")
+    return out
 
 
 def rule_regex(pattern: str) -> str:
@@ -36,35 +64,87 @@ def rule_regex(pattern: str) -> str:
 
 
 def excluded(path: Column, rules: list[str]) -> Column:
-    """Whether the last rule that matches a path excludes it ('!' includes again); fixed folders always do."""
+    """Whether the last rule that matches a path excludes it ('!' includes again); fixed folders and files always are."""
     out = F.lit(False)
     for rule in rules:
         text = rule.strip()
         if text and not text.startswith("#"):
             out = F.when(path.rlike(rule_regex(text.removeprefix("!"))), F.lit(not text.startswith("!"))).otherwise(out)
-    return path.rlike("(?:^|/)(?:" + "|".join(re.escape(d) for d in ALWAYS_EXCLUDED) + ")/") | out
+    fixed = "(?:^|/)(?:" + "|".join(re.escape(d) for d in EXCLUDED_FOLDERS) + ")/|" + "|".join(rule_regex(f) for f in EXCLUDED_FILES)
+    return path.rlike(fixed) | out
 
 
-def scan_tree(spark: SparkSession, root: str, rules: list[str] | None = None, max_bytes: int = MAX_BYTES) -> DataFrame:
+def _named(files: DataFrame, root: str) -> DataFrame:
+    base = re.sub(r"^[a-z0-9]+:/*(?=/)", "", root.rstrip("/"))
+    prefix = "^(?:[a-z0-9]+:/*(?=/))?" + re.escape(base) + "/"
+    # what a link leads to outside the root has no path below it
+    inside = files.where(F.col("path").rlike(prefix))
+    return inside.select(F.regexp_replace("path", prefix, "").alias("relative_path"), F.col("modificationTime").alias("modified"), F.col("length").alias("size"), "content")
+
+
+def scan_tree(spark: SparkSession, root: str, rules: list[str] | None = None, max_bytes: int | None = None) -> DataFrame:
     """(relative_path, modified, size, content) of the files under root that no rule excludes
     and that aren't over max_bytes; path and size are filtered before contents are read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).where(F.col("length") <= max_bytes)
-    base = re.sub(r"^[a-z0-9]+:/*(?=/)", "", root.rstrip("/"))
-    path = F.regexp_replace("path", "^(?:[a-z0-9]+:/*(?=/))?" + re.escape(base) + "/", "")
-    named = files.select(path.alias("relative_path"), F.col("modificationTime").alias("modified"), F.col("length").alias("size"), "content")
-    return named.where(~excluded(F.col("relative_path"), rules or []))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).where(F.col("length") <= (read_bound() if max_bytes is None else max_bytes))
+    return _named(files, root).where(~excluded(F.col("relative_path"), rules or []))
+
+
+def scan_paths(spark: SparkSession, root: str, paths: list[str], rules: list[str] | None = None, max_bytes: int | None = None) -> tuple[DataFrame, list[str]]:
+    """What the changed paths of a batch hold now: (files as of scan_tree, paths that are gone).
+
+    A path may be a file, a folder (all below it) or gone; paths that leave the root count as
+    gone. A batch has few paths (streaming.changes.MOST_PATHS), which the driver looks up.
+    """
+    store = spark.sparkContext._jvm.org.apache.hadoop.fs
+    fs = store.Path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    there, gone = [], []
+    for p in sorted(set(paths)):
+        safe = p and not p.startswith("/") and ".." not in p.split("/")
+        (there if safe and fs.exists(store.Path(f"{root.rstrip('/')}/{p}")) else gone).append(p.rstrip("/"))
+    if not there:
+        return spark.createDataFrame([], "relative_path string, modified timestamp, size long, content binary"), gone
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load([f"{root.rstrip('/')}/{p}" for p in there])
+    files = files.where(F.col("length") <= (read_bound() if max_bytes is None else max_bytes))
+    return _named(files, root).where(~excluded(F.col("relative_path"), rules or [])), gone
 
 
 def decoded(files: DataFrame) -> DataFrame:
-    """Adds text, issue and content_hash (the Git blob id). A file with a zero byte is binary:
-    no text, no issue. Other invalid UTF-8 has the issue 'syntax'."""
+    """Adds text, issue, issue_line and content_hash (the Git blob id). A file with a zero byte is
+    binary: no text, no issue. Other invalid UTF-8 has the issue 'syntax_error' and the line of
+    its first bad byte."""
     zero = F.position(F.unhex(F.lit("00")).cast("string"), F.col("content").cast("string")) > 0
     text = F.try_validate_utf8(F.col("content").cast("string"))
     header = F.concat(F.lit("blob "), F.octet_length("content").cast("string"), F.unhex(F.lit("00")).cast("string")).cast("binary")
-    out = files.withColumn("text", F.when(~zero, text)).withColumn("issue", F.when(~zero & text.isNull(), "syntax"))
+    bad = ~zero & text.isNull()
+
+    @F.pandas_udf("int")
+    def line(contents: pd.Series) -> pd.Series:
+        out = []
+        for c in contents:
+            try:
+                bytes(c or b"").decode()
+                out.append(None)
+            except UnicodeDecodeError as e:
+                out.append(bytes(c).count(b"\n", 0, e.start) + 1)
+        return pd.Series(out, dtype="Int32")
+
+    out = files.withColumn("text", F.when(~zero, text)).withColumn("issue", F.when(bad, "syntax_error"))
+    out = out.withColumn("issue_line", line(F.when(bad, F.col("content"))))
     return out.withColumn("content_hash", F.sha1(F.concat(header, F.col("content"))))
 
 
+def merge_issues(stored: DataFrame, found: DataFrame, handled: DataFrame) -> DataFrame:
+    """(relative_path, issue_kind, detail): stored issues of paths that weren't handled, and those
+    found; one row for each path and kind."""
+    kept = stored.join(handled.select("relative_path").distinct(), "relative_path", "left_anti").unionByName(found)
+    return kept.groupBy("relative_path", "issue_kind").agg(F.max("detail").alias("detail"))
+
+
+def upsert(stored: DataFrame, fresh: DataFrame, replaced: DataFrame, key: str = "relative_path") -> DataFrame:
+    """stored without the rows of replaced keys, and fresh ones: a file's rows change as a whole."""
+    return stored.join(replaced.select(key).distinct(), key, "left_anti").unionByName(fresh, allowMissingColumns=True)
+
+
 def changed_files(now: DataFrame, stored: DataFrame, force: bool = False) -> DataFrame:
     """Files whose (relative_path, content_hash) isn't stored; all with force."""
     return now if force else now.join(stored.select("relative_path", "content_hash").distinct(), ["relative_path", "content_hash"], "left_anti")

@@ -11,13 +11,16 @@ from codeloom.streaming import changes
 
 
 def test_scan_rules_and_decoding(spark, tmp_path):
-    for name, data in {"src/a.py": b"hello\n", "src/b.log": b"x", "src/keep.log": b"x", ".git/c": b"x", "bin/z": b"a\0\xff", "bad.txt": b"\xff\xfe", "big.txt": b"y" * 100}.items():
+    for name, data in {"src/a.py": b"hello\n", "k/.env": b"x", "k/id.pem": b"x", "vendor/v.py": b"x", "src/b.log": b"x", "src/keep.log": b"x", ".git/c": b"x", "bin/z": b"a\0\xff", "bad.txt": b"\xff\xfe", "big.txt": b"y" * 100}.items():
         (tmp_path / name).parent.mkdir(exist_ok=True)
         (tmp_path / name).write_bytes(data)
     got = {r.relative_path: r for r in tree.decoded(tree.scan_tree(spark, str(tmp_path), ["*.log", "!keep.log", "# note"], max_bytes=50)).collect()}
     assert sorted(got) == ["bad.txt", "bin/z", "src/a.py", "src/keep.log"]
+    files, gone = tree.scan_paths(spark, str(tmp_path), ["src", "nope", "../x", "bad.txt"], ["*.log"])
+    assert sorted(r.relative_path for r in files.collect()) == ["bad.txt", "src/a.py"] and gone == ["../x", "nope"]
     assert got["src/a.py"].content_hash == "ce013625030ba8dba906f756967f9e9ca394464a"
-    assert [(got[p].text, got[p].issue) for p in ("src/a.py", "bin/z", "bad.txt")] == [("hello\n", None), (None, None), (None, "syntax")]
+    assert [(got[p].text, got[p].issue) for p in ("src/a.py", "bin/z", "bad.txt")] == [("hello\n", None), (None, None), (None, "syntax_error")]
+    assert got["bad.txt"].issue_line == 1
 
 
 @pytest.mark.parametrize(
@@ -60,6 +63,11 @@ def test_versions(spark, tmp_path):
     with pytest.raises(RuntimeError):
         store.publish(spark, root, {"t": spark.range(9)}, 1)
     assert store.generation(spark, root) == 2
+    assert store.publish(spark, root, {"t": spark.range(5)}, 2) == 2 and store.publish(spark, root, {"t": spark.range(5)}, 2, skip_same=False) == 3
+    (tmp_path / "store/v00000004").mkdir()
+    (tmp_path / "store/v00000004/CLAIM").write_text("")
+    with pytest.raises(RuntimeError, match="another writer"):
+        store.publish(spark, root, {"t": spark.range(6)}, 3)
 
 
 def test_sweeps(spark):
@@ -106,3 +114,17 @@ def test_debounced_stream(spark, tmp_path):
     assert query.awaitTermination(100)
     got = [(r.n, r.paths) for r in spark.table("batches").orderBy("began").collect()]
     assert got == [(2, ["a", "b"]), (2, ["a", "c"]), (1, ["d"])]
+
+
+def test_nested_and_imported_rules():
+    assert tree.nested_rules("a/b", ["*.log", "!/keep.log", "x/y/", "# c", ""]) == ["/a/b/**/*.log", "!/a/b/keep.log", "/a/b/x/y/"]
+    assert tree.expand_rules(["a", tree.IMPORT_LINE, "b"], ["g1", "!g2"]) == ["a", "g1", "!g2", "b"]
+
+
+def test_issues_and_upsert(spark):
+    issues = lambda rows: spark.createDataFrame(rows, "relative_path string, issue_kind string, detail string")
+    handled = spark.createDataFrame([("a",), ("b",)], "relative_path string")
+    got = tree.merge_issues(issues([("a", "syntax_error", "old"), ("c", "read_failure", "kept")]), issues([("b", "syntax_error", "1"), ("b", "syntax_error", "2")]), handled)
+    assert sorted(map(tuple, got.collect())) == [("b", "syntax_error", "2"), ("c", "read_failure", "kept")]
+    rows = lambda x: spark.createDataFrame(x, "relative_path string, name string")
+    assert sorted(map(tuple, tree.upsert(rows([("a", "f"), ("a", "g"), ("c", "h")]), rows([("a", "n")]), handled).collect())) == [("a", "n"), ("c", "h")]
