@@ -99,12 +99,23 @@ imports AS (SELECT DISTINCT a.file_id AS src_file, target_file AS dst_file FROM
   WHERE hits.kind = 'imports' AND NOT external AND NOT member AND n_files = 1 AND a.file_id <> target_file) """
 
 
+_targets: dict[tuple[str, str], resolve.Targets] = {}
+
+
+def _index(spark: SparkSession, sf_dir: str) -> resolve.Targets:
+    """The targets that an index stores with its tables: made once for a session and folder."""
+    key, g = (spark.sparkContext.applicationId, sf_dir), graph(spark, sf_dir)
+    if key not in _targets:
+        _targets[key] = resolve.index_targets(g.relations, g.symbols, g.files, g.aliases)
+    return _targets[key]
+
+
 def _hits(spark: SparkSession, sf_dir: str, where: str | None = None, starts: DataFrame | None = None):
     """The graph, and its relations' hits; where and starts (from_symbol_id) pick relations first."""
     g = graph(spark, sf_dir)
     own = g.relations if where is None else g.relations.where(where)
     own = own if starts is None else own.join(starts, "from_symbol_id", "left_semi")
-    return g, resolve.relation_hits(own, g.symbols, g.files, g.aliases, g.relations)
+    return g, resolve.relation_hits(own, g.symbols, g.files, g.aliases, g.relations, _index(spark, sf_dir))
 
 
 def _edges(spark: SparkSession, sf_dir: str):
@@ -168,7 +179,7 @@ _ASKED = "from_symbol_id % 100 = 3"
 @_register(_CAND + f"SELECT relation_id, symbol_id FROM cand JOIN relations USING (relation_id) WHERE {_ASKED}")
 def relation_candidates(spark, sf_dir):
     g = graph(spark, sf_dir)
-    return resolve.candidates(g.relations.where(_ASKED), g.symbols, g.files, g.aliases, g.relations).select("relation_id", "symbol_id")
+    return resolve.candidates(g.relations.where(_ASKED), g.symbols, g.files, g.aliases, g.relations, _index(spark, sf_dir)).select("relation_id", "symbol_id")
 
 
 @_register(_CAND + "SELECT relation_id, kind, to_name, n_candidates, n_files, target_id, resolution, evidence FROM hits")
@@ -179,7 +190,7 @@ def relation_resolution(spark, sf_dir):
 @_register(_CAND + f"SELECT relation_id, symbol_id, rank FROM (SELECT relation_id, symbol_id, row_number() OVER (PARTITION BY relation_id ORDER BY relative_path, cand.line, symbol_id) AS rank FROM cand JOIN files USING (file_id) JOIN relations USING (relation_id) WHERE {_ASKED}) WHERE rank <= 3")
 def candidate_preview(spark, sf_dir):
     g = graph(spark, sf_dir)
-    found = resolve.candidates(g.relations.where(_ASKED), g.symbols, g.files, g.aliases, g.relations)
+    found = resolve.candidates(g.relations.where(_ASKED), g.symbols, g.files, g.aliases, g.relations, _index(spark, sf_dir))
     return resolve.preview(found, g.files).select("relation_id", "symbol_id", F.col("rank").cast("long").alias("rank"))
 
 

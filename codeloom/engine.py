@@ -107,6 +107,7 @@ class Workspace:
     refresh: Callable[[bool], DataFrame] | None = None
     generation: int = 1
     _hits: DataFrame | None = field(default=None, repr=False)
+    _targets: resolve.Targets | None = field(default=None, repr=False)
 
     def __post_init__(self) -> None:
         prepare(self.spark)
@@ -123,9 +124,14 @@ class Workspace:
     def hits(self) -> DataFrame:
         """All relations with what they resolve to, worked out once for a snapshot."""
         if self._hits is None:
-            self._hits = stage(resolve.relation_hits(self.relations, self.symbols, self.files, self.aliases), "workspace-hits")
+            self._hits = stage(resolve.relation_hits(self.relations, self.symbols, self.files, self.aliases, index=self.targets()), "workspace-hits")
         return self._hits
 
+    def targets(self) -> resolve.Targets:
+        if self._targets is None:
+            self._targets = resolve.index_targets(self.relations, self.symbols, self.files, self.aliases)
+        return self._targets
+
     def scoped(self, df: DataFrame, path: str | None, language: str | None) -> DataFrame:
         scope = lookup.normalise_scope(path)
         is_file = lookup.is_file_scope(scope, self.files) if scope and scope.strip() else None
@@ -251,7 +257,7 @@ class Workspace:
 
     def relation_candidates(self, relation_id: int) -> DataFrame:
         """All that one relation may mean, by path and line."""
-        found = resolve.candidates(self.relations.where(F.col("relation_id") == relation_id), self.symbols, self.files, self.aliases, self.relations)
+        found = resolve.candidates(self.relations.where(F.col("relation_id") == relation_id), self.symbols, self.files, self.aliases, self.relations, self.targets())
         return found.join(self.located.select("symbol_id", "name", "kind", "relative_path"), "symbol_id").orderBy("relative_path", "line", "symbol_id")
 
     def impact_analysis(self, symbol: str, depth: int | None = None, path: str | None = None, language: str | None = None, limit: int | None = None, offset: int | None = None) -> dict[str, DataFrame]:

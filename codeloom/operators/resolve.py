@@ -9,6 +9,8 @@ language; the number of pairs follows the distinct ones, not relations times hom
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,13 +94,18 @@ def _file_modules(s: DataFrame, aliases: DataFrame | None) -> DataFrame:
     return _module_names(s, aliases).groupBy("file_id").agg(F.collect_set("module").alias("modules"))
 
 
-def ancestors(relations: DataFrame, symbols: DataFrame, files: DataFrame, types: DataFrame) -> DataFrame:
+def supertypes(relations: DataFrame, symbols: DataFrame, files: DataFrame) -> DataFrame:
+    """(ancestor, language, above): what types name as their supertypes."""
+    at = symbols.join(files.select("file_id", "language"), "file_id").select(F.col("symbol_id").alias("from_symbol_id"), F.col("name").alias("ancestor"), "language")
+    links = relations.where(F.col("kind").isin("extends", "implements")).select("from_symbol_id", F.col("to_name").alias("above"))
+    return links.join(at, "from_symbol_id").select("ancestor", "language", "above").distinct()
+
+
+def ancestors(up: DataFrame, types: DataFrame) -> DataFrame:
     """(qualifier, language, ancestor, depth): supertypes by name of types (qualifier, language),
     the type itself at 0, at most ANCESTORS levels up, each at its least depth."""
-    prepare(relations.sparkSession)
-    at = symbols.join(files.select("file_id", "language"), "file_id").select(F.col("symbol_id").alias("from_symbol_id"), F.col("name").alias("ancestor"), "language")
-    up = relations.where(F.col("kind").isin("extends", "implements")).select("from_symbol_id", F.col("to_name").alias("above")).join(at, "from_symbol_id").select("ancestor", "language", "above").distinct()
-    up, types = stage(up, "supertypes"), stage(types.select("qualifier", "language").distinct(), "asked-types")
+    spark = prepare(up.sparkSession)
+    types = stage(types.select("qualifier", "language").distinct(), "asked-types")
     if up.count() <= DRIVER_ROWS and types.count() <= DRIVER_ROWS // 8:
         above: dict[tuple[str, str], list[str]] = {}
         for name, language, higher in up.collect():
@@ -110,7 +117,7 @@ def ancestors(relations: DataFrame, symbols: DataFrame, files: DataFrame, types:
                 level = [x for x in {h for n in level for h in above.get((language, n), ())} if x not in depths]
                 depths |= dict.fromkeys(level, depth)
             rows += [(qualifier, language, name, depth) for name, depth in depths.items()]
-        return relations.sparkSession.createDataFrame(rows, "qualifier string, language string, ancestor string, depth int")
+        return spark.createDataFrame(rows, "qualifier string, language string, ancestor string, depth int")
     frontier = stage(types.select("qualifier", "language", F.col("qualifier").alias("ancestor"), F.lit(0).alias("depth")), "ancestors")
     seen = frontier
     for depth in range(1, ANCESTORS + 1):
@@ -122,13 +129,47 @@ def ancestors(relations: DataFrame, symbols: DataFrame, files: DataFrame, types:
     return seen
 
 
-def inherited(questions: DataFrame, relations: DataFrame, symbols: DataFrame, files: DataFrame) -> DataFrame:
+@dataclass
+class Targets:
+    """What questions are asked of, made once for a version of the index and stored with it.
+
+    flat: targets() by symbol, answers: the same grouped with n and low, by_alias: modules by
+    alias, inside: (qualifier, target_module) whose file declares the module, members:
+    (ancestor, language, to_name) that types declare, up: supertypes().
+    """
+
+    flat: DataFrame
+    answers: DataFrame
+    by_alias: DataFrame | None
+    inside: DataFrame
+    members: DataFrame
+    up: DataFrame
+
+
+def index_targets(relations: DataFrame, symbols: DataFrame, files: DataFrame, aliases: DataFrame | None = None) -> Targets:
+    prepare(symbols.sparkSession)
+    symbols = _filled(symbols, _SYMBOL)
+    sets = ("type_modules", "modules")
+    defs = targets(symbols, files, aliases)
+    flat = stage(defs.select("symbol_id", "line", "col", *[F.array_sort(c).alias(c) if c in sets else F.col(c) for c in _ANSWER]), "targets")
+    grouped = lambda df, *more: df.groupBy(*more, *_ANSWER).agg(F.count("*").alias("n"), F.min("symbol_id").alias("low"))
+    by_alias = None
+    if aliases is not None:
+        modules = flat.where("kind = 'module'").join(aliases.select("symbol_id", "alias"), "symbol_id").where("alias <> name")
+        by_alias = stage(grouped(modules, "alias"), "targets-by-alias")
+    holders = symbols.where(F.col("parent").isNull()).select("file_id", F.col("name").alias("qualifier")).distinct()
+    inside = holders.join(_module_names(symbols, aliases), "file_id").select("qualifier", F.col("module").alias("target_module")).distinct()
+    members = flat.where(F.col("parent").isNotNull()).select(F.col("parent").alias("ancestor"), "language", F.col("name").alias("to_name")).distinct()
+    return Targets(flat, stage(grouped(flat), "target-answers"), by_alias, stage(inside, "targets-inside"), stage(members, "target-members"), stage(supertypes(relations, symbols, files), "supertypes"))
+
+
+def inherited(questions: DataFrame, index: Targets) -> DataFrame:
     """(qualifier, want, to_name, holder): the nearest supertypes that declare a name which the
     qualifier doesn't declare itself."""
     asked = questions.where(F.col("qualifier").isNotNull()).select("qualifier", F.col("want").alias("language"), "to_name").distinct()
-    up = ancestors(relations, symbols, files, asked.select("qualifier", "language").distinct())
-    members = symbols.where(F.col("parent").isNotNull()).join(files.select("file_id", "language"), "file_id").select(F.col("parent").alias("ancestor"), "language", F.col("name").alias("to_name")).distinct()
-    declared = asked.join(up, ["qualifier", "language"]).join(members, ["ancestor", "language", "to_name"])
+    asked = stage(asked, "asked-members")
+    up = ancestors(index.up, asked)
+    declared = asked.join(up, ["qualifier", "language"]).join(index.members, ["ancestor", "language", "to_name"])
     nearest = declared.groupBy("qualifier", "language", "to_name").agg(F.min("depth").alias("depth"))
     found = declared.join(nearest.where("depth > 0"), ["qualifier", "language", "to_name", "depth"])
     return found.select("qualifier", F.col("language").alias("want"), "to_name", F.col("ancestor").alias("holder")).distinct()
@@ -151,32 +192,23 @@ def asked(relations: DataFrame, symbols: DataFrame, files: DataFrame) -> DataFra
     return rel.withColumn("q", _key(*[F.col(c) for c in (*_ASK, "from_file", "want")]))
 
 
-def matches(rel: DataFrame, relations: DataFrame, symbols: DataFrame, files: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+def matches(rel: DataFrame, index: Targets) -> DataFrame:
     """(q, answer columns, n, low): answers to the distinct questions of rel (see asked).
 
     The members of an answer are counted in n; low is the smallest symbol id.
     """
-    symbols = _filled(symbols, _SYMBOL)
-    defs = targets(symbols, files, aliases)
-    sets = [c for c in ("type_modules", "modules")]
-    flat = defs.select("symbol_id", *[F.array_sort(c).alias(c) if c in sets else F.col(c) for c in _ANSWER])
-    answers = flat.groupBy(*_ANSWER).agg(F.count("*").alias("n"), F.min("symbol_id").alias("low"))
-    q = rel.select("q", "from_file", "want", *_ASK).distinct()
+    q = stage(rel.select("q", "from_file", "want", *_ASK).distinct(), "questions")
     # the qualifier's own file may declare the wanted module instead of the target's
-    holders = symbols.where(F.col("parent").isNull()).select("file_id", F.col("name").alias("qualifier")).distinct()
-    inside = holders.join(_module_names(symbols, aliases), "file_id").select("qualifier", F.col("module").alias("target_module"), F.lit(True).alias("qualifier_inside")).distinct()
-    q = q.join(inside, ["qualifier", "target_module"], "left").withColumn("qualifier_inside", F.coalesce("qualifier_inside", F.lit(False)))
-    t = answers.select(*[F.col(c).alias(f"t_{c}") for c in _ANSWER], "n", "low")
+    q = q.join(index.inside.withColumn("qualifier_inside", F.lit(True)), ["qualifier", "target_module"], "left").withColumn("qualifier_inside", F.coalesce("qualifier_inside", F.lit(False)))
+    t = index.answers.select(*[F.col(c).alias(f"t_{c}") for c in _ANSWER], "n", "low")
     same = (F.col("to_name") == F.col("t_name")) & (F.col("want") == F.col("t_language"))
     generic = F.coalesce(F.col("t_parent").startswith(F.concat("qualifier", F.lit("<"))), F.lit(False))
-    direct = q.join(t, same & (F.col("qualifier").isNull() | F.coalesce(F.col("t_parent") == F.col("qualifier"), F.lit(False)) | generic))
-    up = inherited(q, relations, symbols, files)
-    above = q.join(up, ["qualifier", "want", "to_name"]).join(t, same & (F.col("t_parent") == F.col("holder")) & ~generic).drop("holder")
-    hits = direct.unionByName(above)
-    if aliases is not None:
-        by_alias = flat.where("kind = 'module'").join(aliases.select("symbol_id", "alias"), "symbol_id").where("alias <> name").groupBy("alias", *_ANSWER).agg(F.count("*").alias("n"), F.min("symbol_id").alias("low"))
-        t2 = by_alias.select("alias", *[F.col(c).alias(f"t_{c}") for c in _ANSWER], "n", "low")
-        held = F.col("qualifier").isNull() | F.coalesce(F.col("t_parent") == F.col("qualifier"), F.lit(False)) | generic
+    held = F.col("qualifier").isNull() | F.coalesce(F.col("t_parent") == F.col("qualifier"), F.lit(False)) | generic
+    hits = q.join(t, same & held)
+    up = inherited(q, index)
+    hits = hits.unionByName(q.join(up, ["qualifier", "want", "to_name"]).join(t, same & (F.col("t_parent") == F.col("holder")) & ~generic).drop("holder"))
+    if index.by_alias is not None:
+        t2 = index.by_alias.select("alias", *[F.col(c).alias(f"t_{c}") for c in _ANSWER], "n", "low")
         modules = q.where("target_kind = 'module' AND target_path IS NULL")
         hits = hits.unionByName(modules.join(t2, (F.col("to_name") == F.col("alias")) & (F.col("want") == F.col("t_language")) & held).drop("alias"))
     path = F.concat(F.lit("/"), F.translate("t_relative_path", "-", "_"))
@@ -199,17 +231,18 @@ def matches(rel: DataFrame, relations: DataFrame, symbols: DataFrame, files: Dat
     return hits.where(ok).select("q", *[F.col(f"t_{c}") for c in _ANSWER], "n", "low")
 
 
-def candidates(relations: DataFrame, symbols: DataFrame, files: DataFrame, aliases: DataFrame | None = None, universe: DataFrame | None = None) -> DataFrame:
+def candidates(relations: DataFrame, symbols: DataFrame, files: DataFrame, aliases: DataFrame | None = None, universe: DataFrame | None = None, index: Targets | None = None) -> DataFrame:
     """(relation_id, symbol_id, file_id, line, col): every definition each of relations may mean.
 
     It writes out what relation_hits only counts, so it is for relations filtered before;
-    universe is then the table with all of them, which supertypes are read from.
+    universe is then the table with all of them, which supertypes are read from. index
+    saves making one.
     """
+    index = index or index_targets(relations if universe is None else universe, symbols, files, aliases)
     rel = asked(relations, symbols, files)
-    found = matches(rel, relations if universe is None else universe, symbols, files, aliases).select("q", F.col("t_file_id").alias("file_id"), F.col("t_name").alias("name"), F.col("t_kind").alias("kind"), F.col("t_parent").alias("parent"), F.col("t_file_scoped").alias("file_scoped"), F.col("t_shadowed").alias("shadowed"), F.col("t_nested").alias("nested"), F.col("t_local").alias("local"))
-    members = targets(_filled(symbols, _SYMBOL), files, aliases).select("symbol_id", "file_id", "name", "kind", "parent", "file_scoped", "shadowed", "nested", "local", "line", "col")
     keys = ["file_id", "name", "kind", "file_scoped", "shadowed", "nested", "local"]
-    f, m = found.distinct().alias("f"), members.alias("m")
+    found = matches(rel, index).select("q", F.col("t_parent").alias("parent"), *[F.col(f"t_{k}").alias(k) for k in keys])
+    f, m = found.distinct().alias("f"), index.flat.alias("m")
     same = F.col("f.parent").eqNullSafe(F.col("m.parent"))
     for k in keys:
         same = same & (F.col(f"f.{k}") == F.col(f"m.{k}"))
@@ -217,10 +250,14 @@ def candidates(relations: DataFrame, symbols: DataFrame, files: DataFrame, alias
     return rel.select("relation_id", "q").join(pairs, "q").drop("q")
 
 
-def relation_hits(relations: DataFrame, symbols: DataFrame, files: DataFrame, aliases: DataFrame | None = None, universe: DataFrame | None = None) -> DataFrame:
-    """Relations with n_candidates, target_id, n_files, target_file, resolution and evidence."""
+def relation_hits(relations: DataFrame, symbols: DataFrame, files: DataFrame, aliases: DataFrame | None = None, universe: DataFrame | None = None, index: Targets | None = None) -> DataFrame:
+    """Relations with n_candidates, target_id, n_files, target_file, resolution and evidence.
+
+    universe and index as for candidates.
+    """
+    index = index or index_targets(relations if universe is None else universe, symbols, files, aliases)
     rel = asked(relations, symbols, files)
-    found = matches(rel, relations if universe is None else universe, symbols, files, aliases)
+    found = matches(rel, index)
     each = found.groupBy("q").agg(F.sum("n").alias("n_candidates"), F.min("low").alias("target_id"), F.countDistinct("t_file_id").alias("n_files"), F.min("t_file_id").alias("target_file"))
     known = rel.select("relation_id", "q").join(each, "q").drop("q")
     zero = F.lit(0).cast("long")
