@@ -30,13 +30,6 @@ def map_columns(df: DataFrame, schema: str, run: Callable[[Iterator[list[list]]]
     return df.mapInArrow(go, schema)
 
 
-def filesystem(uri: str):
-    """The Arrow file system of a path in the shared folder, and the path in it."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}")
-
-
 def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
     """128 bits that name a row by its id and text, nulls told apart from empty ones."""
     parts = F.coalesce(F.col(id_col).cast("string"), F.lit("-")), F.coalesce(F.concat(F.lit("+"), F.col(text_col)), F.lit("-"))

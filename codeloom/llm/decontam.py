@@ -25,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import filesystem, map_columns, row_key
-from codeloom.runtime import new_path, prepare, stage
+from codeloom.llm.common import map_columns, row_key
+from codeloom.runtime import filesystem, new_path, prepare, stage
 
 #: Words of a window and of a shingle.
 WINDOW, SHINGLE = 13, 5

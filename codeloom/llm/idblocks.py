@@ -28,8 +28,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import filesystem, map_columns
-from codeloom.runtime import new_path, prepare, stage
+from codeloom.llm.common import map_columns
+from codeloom.runtime import filesystem, new_path, prepare, stage
 
 MAGIC = b"PFOR1\0\0\0"
 #: Values of a block (a multiple of 64), the percentile its width holds, ids of a file about.

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from codeloom.llm.common import map_columns, row_key
 from codeloom.runtime import prepare, stage
 
-#: Hashed features, and documents the scorer learns from at most (the smallest row keys).
+#: Hashed features, and documents the scorer learns from at most (those with the smallest row keys).
 DIMENSIONS, SAMPLE = 2_048, 20_000
 #: Score from which a document is kept.
 THRESHOLD = 0.5
@@ -203,8 +203,10 @@ def score_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     counts = {r[0]: r[1] for r in seen.groupBy("votes").count().collect()}  # 3 ** labellers at most
     accuracies = estimate(counts)
     posterior = {p: accuracies.posterior(p) for p in counts}
-    cut = [r[0] for r in seen.select("row").orderBy("row").limit(sample).collect()]
-    learnt = seen.where(F.col("row") <= F.lit(cut[-1])).select("votes", "at", "v").limit(2 * sample).toArrow() if cut else None
+    # the smallest keys, each once: rows of one key are equal in id and text, and so in votes and features
+    keys = seen.groupBy("row").agg(F.count("*").alias("n")).orderBy("row").limit(sample)
+    cut = [r[0] for r in keys.collect()]
+    learnt = seen.where(F.col("row") <= F.lit(cut[-1])).groupBy("row").agg(F.min(F.struct("votes", "at", "v")).alias("x")).select("x.votes", "x.at", "x.v").toArrow() if cut else None
     rows, target = [], np.zeros(0)
     if learnt is not None:
         got = sorted(zip(learnt.column("votes").to_pylist(), learnt.column("at").to_pylist(), learnt.column("v").to_pylist(), strict=True))

@@ -101,3 +101,50 @@ def test_toxicity_learns_from_one_row_of_an_id(spark):
     fit = lambda rows: T.fit(spark.createDataFrame(rows, "doc_id long, text string"), labels)
     once, often = fit(docs), fit(docs + [(ids[0], docs[0][1])] * 50 + [(ids[0], "zzz later text")])
     assert once.weights == often.weights and once.bias == often.bias
+
+
+def test_em_over_patterns_equals_em_over_rows():
+    """Each row on its own, by the formulas as they stand in the textbook, against counts of vote patterns."""
+    rng = random.Random(5)
+    rows = ["".join(rng.choices("gb-", (5, 1, 4) if i % 4 else (1, 4, 5), k=4)) for i in range(200)]
+    counts = {}
+    for r in rows:
+        counts[r] = counts.get(r, 0) + 1
+    got = Q.estimate(counts)
+    prior, table = Q.PRIOR, [[{v: Q.START[c][v] for v in "gb-"} for c in (0, 1)] for _ in range(4)]
+    extra = max(1.0, 0.001 * len(rows))
+    for _ in range(100):
+        good = []
+        for r in rows:
+            like = [1 - prior, prior]
+            for i, v in enumerate(r):
+                like = [like[c] * table[i][c][v] for c in (0, 1)]
+            good.append(like[1] / sum(like))
+        new = [[{} for _ in (0, 1)] for _ in range(4)]
+        for i in range(4):
+            for c in (0, 1):
+                weight = [g if c else 1 - g for g in good]
+                for v in "gb-":
+                    new[i][c][v] = (extra * Q.START[c][v] + sum(w for w, r in zip(weight, rows, strict=True) if r[i] == v)) / (extra + sum(weight))
+        change = max(abs(new[i][c][v] - table[i][c][v]) for i in range(4) for c in (0, 1) for v in "gb-")
+        prior, table = (sum(good) + extra * Q.PRIOR) / (len(rows) + extra), new
+        if change < 1e-6:
+            break
+    assert abs(got.prior - prior) < 1e-9
+    assert all(abs(got.table[i, v, c] - table[i][c][v]) < 1e-9 for i in range(4) for c in (0, 1) for v in "gb-")
+
+
+def test_scores_equal_a_plain_sum():
+    import math
+
+    rng = random.Random(8)
+    weights = {f: rng.uniform(-1, 1) for w in ("hallo", "welten", "idiot", "über") for f in T.features(w)}
+    score = T.Model(weights, -0.5).scorer()
+    parts = ["hallo", "Welten!", "idiotic", "über-", "x", "", "Hallo,welt", "\n", "ÜBERALL"]
+    for _ in range(300):
+        text = " ".join(rng.choice(parts) for _ in range(rng.randint(0, 9)))
+        words = "".join(c if c.isalpha() else " " for c in text.lower()).split()
+        held = {f for w in words for f in [w, *[w[:k] + "*" for k in range(3, 7) if len(w) > k]]}
+        want = 1 / (1 + math.exp(0.5 - sum(weights.get(f, 0.0) for f in held)))
+        assert abs(score(text) - want) < 1e-12, text
+    assert score(None) == score("") == 1 / (1 + math.exp(0.5))
