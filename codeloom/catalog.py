@@ -41,10 +41,10 @@ def _name(spark: SparkSession, sf_dir: str) -> str:
     return _table(spark, sf_dir, "part").agg(F.min("p_name")).first()[0]
 
 
-_CAND = """, rel AS (
+_CAND = """, rel AS MATERIALIZED (
   SELECT r.*, c.file_id AS from_file, coalesce(r.target_language, cf.language) AS want
   FROM relations r JOIN symbols c ON c.symbol_id = r.from_symbol_id JOIN files cf ON cf.file_id = c.file_id WHERE NOT external AND targets_parsed),
-t AS (
+t AS MATERIALIZED (
   SELECT s.*, f.language, f.relative_path,
     kind = 'module' AND EXISTS (SELECT 1 FROM symbols x WHERE x.file_id = s.file_id AND x.name = s.name AND x.parent IS NOT DISTINCT FROM s.parent AND x.kind <> 'module') AS shadowed,
     kind = 'function' AND EXISTS (SELECT 1 FROM symbols p WHERE p.file_id = s.file_id AND p.kind IN ('function', 'method') AND p.symbol_id <> s.symbol_id
@@ -53,36 +53,40 @@ t AS (
     kind = 'variable' AND EXISTS (SELECT 1 FROM symbols p WHERE p.file_id = s.file_id AND p.name = s.parent AND p.kind IN ('function', 'method'))
       AND NOT EXISTS (SELECT 1 FROM symbols p WHERE p.file_id = s.file_id AND p.name = s.parent AND p.kind NOT IN ('function', 'method', 'variable', 'constant', 'field')) AS is_local
   FROM symbols s JOIN files f ON f.file_id = s.file_id),
-file_modules AS (
+file_modules AS MATERIALIZED (
   SELECT file_id, name AS module FROM symbols WHERE kind = 'module'
   UNION SELECT file_id, alias FROM symbols JOIN symbol_aliases USING (symbol_id) WHERE kind = 'module'),
-up AS (
+up AS MATERIALIZED (
   SELECT DISTINCT f.language, s.name AS sub, r.to_name AS sup FROM relations r JOIN symbols s ON s.symbol_id = r.from_symbol_id JOIN files f ON f.file_id = s.file_id WHERE r.kind IN ('extends', 'implements')),
 anc(qualifier, language, name, depth) AS (
   SELECT DISTINCT qualifier, want, qualifier, 0 FROM rel WHERE qualifier IS NOT NULL
   UNION SELECT a.qualifier, a.language, up.sup, a.depth + 1 FROM anc a JOIN up ON up.sub = a.name AND up.language = a.language WHERE a.depth < 8),
-members AS (SELECT DISTINCT language, parent, name FROM t WHERE parent IS NOT NULL),
-inherited AS (
+members AS MATERIALIZED (SELECT DISTINCT language, parent, name FROM t WHERE parent IS NOT NULL),
+inherited AS MATERIALIZED (
   SELECT DISTINCT qualifier, language, to_name, holder FROM (
     SELECT a.qualifier, a.language, m.name AS to_name, m.parent AS holder, depth, min(depth) OVER (PARTITION BY a.qualifier, a.language, m.name) AS nearest
     FROM anc a JOIN members m ON m.language = a.language AND m.parent = a.name) WHERE depth = nearest AND nearest > 0),
-named AS (
+named AS MATERIALIZED (
   SELECT relation_id, symbol_id FROM rel JOIN t ON t.name = rel.to_name AND t.language = rel.want
-  UNION SELECT relation_id, symbol_id FROM rel JOIN symbol_aliases ON alias = rel.to_name WHERE target_kind = 'module' AND target_path IS NULL),
-cand AS (
+  UNION SELECT relation_id, symbol_id FROM rel JOIN (SELECT symbol_id, alias, language FROM symbol_aliases JOIN t USING (symbol_id)) a ON a.alias = rel.to_name AND a.language = rel.want WHERE target_kind = 'module' AND target_path IS NULL),
+pairs AS MATERIALIZED (
+  SELECT named.symbol_id AS target, rel.* FROM named JOIN rel ON rel.relation_id = named.relation_id),
+type_modules AS MATERIALIZED (SELECT DISTINCT file_id, name AS type_name, parent AS module FROM symbols WHERE parent IS NOT NULL),
+qualifier_modules AS MATERIALIZED (SELECT DISTINCT qt.name AS qualifier, m.module FROM symbols qt JOIN file_modules m ON m.file_id = qt.file_id WHERE qt.parent IS NULL),
+cand AS MATERIALIZED (
   SELECT rel.relation_id, t.symbol_id, t.file_id, t.line, t.col
-  FROM named JOIN rel ON rel.relation_id = named.relation_id JOIN t ON t.symbol_id = named.symbol_id
-  WHERE t.language = want
-    AND (qualifier IS NULL OR t.parent = qualifier OR starts_with(t.parent, qualifier || '<')
-      OR EXISTS (SELECT 1 FROM inherited h WHERE h.qualifier = rel.qualifier AND h.language = want AND h.to_name = rel.to_name AND h.holder = t.parent))
+  FROM pairs rel JOIN t ON t.symbol_id = rel.target
+  LEFT JOIN inherited h ON h.qualifier = rel.qualifier AND h.language = want AND h.to_name = rel.to_name AND h.holder = t.parent
+  LEFT JOIN type_modules tm ON tm.file_id = t.file_id AND tm.type_name = t.parent AND tm.module = rel.module
+  LEFT JOIN file_modules fm ON fm.file_id = t.file_id AND fm.module = rel.target_module
+  LEFT JOIN qualifier_modules qm ON qm.qualifier = rel.qualifier AND qm.module = rel.target_module
+  WHERE (rel.qualifier IS NULL OR t.parent = rel.qualifier OR starts_with(t.parent, rel.qualifier || '<') OR h.holder IS NOT NULL)
     AND (target_path IS NULL OR t.relative_path = target_path)
-    AND (rel.module IS NULL OR t.parent = rel.module
-      OR EXISTS (SELECT 1 FROM symbols pt WHERE pt.file_id = t.file_id AND pt.name = t.parent AND pt.parent = rel.module)
+    AND (rel.module IS NULL OR t.parent = rel.module OR tm.module IS NOT NULL
       OR contains('/' || replace(t.relative_path, '-', '_'), '/' || rel.module || '/') OR contains('/' || replace(t.relative_path, '-', '_'), '/' || rel.module || '.'))
     AND (NOT member OR t.kind = 'method') AND (NOT not_field OR t.kind <> 'field') AND (NOT top_level OR t.kind NOT IN ('method', 'field'))
     AND (NOT t.file_scoped OR t.file_id = from_file) AND (target_kind IS NULL OR t.kind = target_kind)
-    AND (target_module IS NULL OR EXISTS (SELECT 1 FROM file_modules m WHERE m.file_id = t.file_id AND m.module = target_module)
-      OR (t.parent IS DISTINCT FROM qualifier AND EXISTS (SELECT 1 FROM symbols qt JOIN file_modules m ON m.file_id = qt.file_id WHERE qt.name = qualifier AND qt.parent IS NULL AND m.module = target_module)))
+    AND (rel.target_module IS NULL OR fm.module IS NOT NULL OR (t.parent IS DISTINCT FROM rel.qualifier AND qm.module IS NOT NULL))
     AND NOT (rel.kind = 'calls' AND t.kind = 'module')
     AND NOT (rel.kind IN ('extends', 'implements') AND t.language IN ('csharp', 'cpp') AND t.kind IN ('method', 'function', 'field', 'variable', 'constant'))
     AND (t.file_id = from_file OR NOT (is_local OR nested))
