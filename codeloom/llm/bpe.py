@@ -5,10 +5,14 @@ neighbours are joined by re-encoding a window around the seam. A window reaches
 both sides to a *sync point*, a place where every tokenisation starts a new match
 of the split pattern whatever stands around it:
 
-* a space before a letter or digit: no alternative of the pattern takes a space
-  anywhere but in front, and a run of white space gives its last space away;
-* a change between letters and digits, or from those to another visible character.
-
+* a space before a letter or digit: words and numbers take one space in front, and of a
+  run of white space `\\s+(?!\\S)` leaves the last character to what follows;
+* a change between ASCII letters and digits: no alternative holds both, and contractions
+  begin at their quote;
+* an ASCII letter or digit before an ASCII sign other than the quote: signs are matched on
+  their own, and only a quote can go on with letters.
+
+This holds for SPLIT, the one pattern it was argued for; texts are encoded whole with others.
 The search for a sync point doubles its reach until one is found or the part ends.
 Matches never span a sync point, so tokens outside the window can't change: the
 join is associative and equals the encoding of the whole text.
@@ -31,7 +35,9 @@ from codeloom.runtime import prepare
 
 #: Characters of a leaf.
 LEAF = 16_384
-_SYNC = re.compile(r"(?= [^\W_])|(?<=[^\W\d_])(?=[0-9])|(?<=[0-9])(?=[^\W\d_])|(?<=[A-Za-z0-9])(?=[!-&(-/:-@\[-`{-~])")
+# Fixed value: the split pattern whose sync points are known.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_SYNC = re.compile(r"(?= [^\W_])|(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])|(?<=[A-Za-z0-9])(?=[!-&(-/:-@\[-`{-~])")
 _codecs: dict[str, Codec] = {}
 
 
@@ -44,6 +50,7 @@ class Codec:
         ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in table.splitlines() if x)}
         self.encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.leaf = max(2, leaf)
+        self.halves = pattern == SPLIT
         top = max(ranks.values(), default=-1)
         self.bytes_of = [b""] * (top + 1)
         for k, v in ranks.items():
@@ -81,7 +88,7 @@ class Codec:
         return left[0] + right[0], np.concatenate((left[1][:keep], self._leaf(tail + head), right[1][drop:]))
 
     def _encode(self, text: str) -> tuple[str, np.ndarray]:
-        if len(text) <= self.leaf:
+        if len(text) <= self.leaf or not self.halves:
             return text, self._leaf(text)
         mid = len(text) // 2
         return self.join(self._encode(text[:mid]), self._encode(text[mid:]))

@@ -6,7 +6,7 @@ import pytest
 
 P = pytest.importorskip("public_tokenizers")
 
-from codeloom.llm.bpe import Codec, encode_documents  # noqa: E402
+from codeloom.llm.bpe import SPLIT, Codec, encode_documents  # noqa: E402
 
 RANKS = P.path("byte_bpe_multi_50k.tiktoken")
 
@@ -47,3 +47,20 @@ def test_documents(hard, empty):
     assert sorted(r.ids_sha256 for r in got) == sorted(hashlib.sha256(np.array(w, dtype="<u4").tobytes()).hexdigest() for w in want)
     assert all(r.n_tokens == len(r.token_ids) for r in got)
     assert encode_documents(empty, RANKS, P.PATTERN).count() == 0
+
+
+def test_other_patterns_are_encoded_whole():
+    with open(RANKS, "rb") as f:
+        c = Codec(f.read(), r"\p{N}{1,3}|[^\p{N}]+", 4)
+    assert P.PATTERN == SPLIT and not c.halves and codec(4).halves
+    rng = random.Random(9)
+    for _ in range(200):
+        text = "".join(rng.choice("12345 ab,") for _ in range(rng.randint(0, 40)))
+        assert c.encode(text).tolist() == c.encoding.encode_ordinary(text)
+
+
+def test_numbers_that_are_no_digits():
+    c, rng = codec(4), random.Random(10)
+    for _ in range(2000):
+        text = "".join(rng.choice("²Ⅷ½1a९ 9é'sll.") for _ in range(rng.randint(5, 40)))
+        assert c.encode(text).tolist() == c.encoding.encode_ordinary(text)
