@@ -114,12 +114,23 @@ def _index(spark: SparkSession, sf_dir: str) -> resolve.Targets:
     return _targets[key]
 
 
+_resolved: dict[tuple[str, str], DataFrame] = {}
+
+
 def _hits(spark: SparkSession, sf_dir: str, where: str | None = None, starts: DataFrame | None = None):
-    """The graph, and its relations' hits; where and starts (from_symbol_id) pick relations first."""
-    g = graph(spark, sf_dir)
+    """The graph, and its relations' hits; where and starts (from_symbol_id) pick relations first.
+
+    The hits of all relations are written once for a session and folder, as an index stores them.
+    """
+    g, index = graph(spark, sf_dir), _index(spark, sf_dir)
+    if where is None and starts is None:
+        key = (spark.sparkContext.applicationId, sf_dir)
+        if key not in _resolved:
+            _resolved[key] = stage(resolve.relation_hits(g.relations, g.symbols, g.files, g.aliases, g.relations, index), "hits")
+        return g, _resolved[key]
     own = g.relations if where is None else g.relations.where(where)
     own = own if starts is None else own.join(starts, "from_symbol_id", "left_semi")
-    return g, resolve.relation_hits(own, g.symbols, g.files, g.aliases, g.relations, _index(spark, sf_dir))
+    return g, resolve.relation_hits(own, g.symbols, g.files, g.aliases, g.relations, index)
 
 
 def _edges(spark: SparkSession, sf_dir: str):
@@ -683,7 +694,7 @@ SELECT node AS symbol_id, CASE WHEN bool_or(role = 'definition') THEN 'definitio
 def context_pack(spark, sf_dir):
     g, hits = _hits(spark, sf_dir)
     starts = g.symbols.where("name = 'order_9'").select(F.col("symbol_id").alias("node"))
-    pack = packs.context_pack(starts, stage(hits, "pack-hits"), g.symbols, g.files)
+    pack = packs.context_pack(starts, hits, g.symbols, g.files)
     return pack.select("symbol_id", F.array_join("roles", ",").alias("roles"), "hop", "certain")
 
 
