@@ -1,27 +1,30 @@
-"""Line deduplication: repeated runs of lines, found by distributed prefix doubling.
+"""Line deduplication: later copies of maximal repeated runs of lines, found by distributed prefix doubling.
 
 Every document is a sequence of line numbers. Prefix doubling ranks the suffixes of all
 sequences by their first 1, 2, 4, ... lines: the rank of the first 2k lines is the rank
 of the pair (rank of k lines here, rank of k lines further on). Ranks come from a
 distributed sort of the distinct pairs. Suffixes whose prefix is unique drop out, as
-nothing that long repeats there. The suffixes that share their first m lines are the
-interval of the suffix array with a longest common prefix of m or more; the pair (rank
-of the first 2**j, rank of the last 2**j of the m lines) names that interval exactly.
-
-A run counts when it holds min_words words or more; by default every repeated run counts,
-and single lines are the shortest. A line is part of a repeated run that
-counts exactly if it lies in a shortest such run that begins or ends there, so the
-intervals of these shortest runs suffice, and the doubling ends at min_words lines at most
-(lines without words are passed over). Of each interval the first suffix, by document id
-and place, stays; the lines of every later copy that doesn't overlap it are deleted. The
-union of the shortest runs gives the maximal repeated runs.
+nothing that long repeats there, and the doubling goes on until no prefix repeats.
+
+The suffixes that share their first m lines are an interval of the suffix array; the first
+of them, by document id and place, is the copy that stays. From each place the longest run
+is looked for whose first copy is an earlier one and doesn't overlap it. If a run has such
+a copy, so have the shorter ones from there, so its length is found bit by bit, downwards
+from the last doubling: an interval of m lines is cut by the ranks of the 2**j lines that
+follow. Intervals stay as long as a length of theirs is open.
+
+The lines of each such run that holds min_words words or more are deleted; by default every
+repeated run counts, single lines included. Runs within the run of an earlier place aren't
+maximal and aren't listed. Lines without words are passed over.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from itertools import accumulate
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.llm.common import join_counted, map_columns, row_key
@@ -42,9 +45,20 @@ def _repeated(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
 
 
+def _firsts(df: DataFrame, keys: list[str]) -> DataFrame:
+    """_repeated with the first suffix f of each key."""
+    return df.groupBy(*keys).agg(F.min(F.struct("g", "p")).alias("f"), F.count("*").alias("n")).where("n > 1")
+
+
+def _past(at: str, length: Column) -> Column:
+    """Whether the suffix at begins after the run of length lines from f, and thus doesn't overlap it."""
+    return F.expr(f"{at}g > f.g") | (F.expr(f"{at}g = f.g") & (F.expr(f"{at}p - f.p") >= length))
+
+
 def _windows(words: list[int], places: list[int], least: int) -> list[tuple[int, int]]:
     """(first, length) of the shortest runs of least words that begin or end at each of the
-    lines, which are neighbours where places follow on."""
+    lines, which are neighbours where places follow on. Deleting those that have an earlier
+    copy gives the same lines; tests compare the two."""
     out, n = set(), len(words)
     start = 0
     while start < n:
@@ -73,8 +87,57 @@ def _windows(words: list[int], places: list[int], least: int) -> list[tuple[int,
     return sorted(out)
 
 
+def doubled(held: DataFrame) -> list[DataFrame]:
+    """By level k the suffixes (g, p) whose first 2**k lines repeat, with the rank r of these lines and
+    earlier, whether they have an earlier copy without overlap. held: (g, p, r) of repeated lines."""
+    at = held.select("g", "p", "r")
+    levels = [stage(join_counted(at, stage(_firsts(at, ["r"]), "rank-firsts"), ["r"]).select("g", "p", "r", _past("", F.lit(1)).alias("earlier")), "ranks")]
+    while True:
+        at, size = levels[-1].drop("earlier"), 1 << len(levels) - 1
+        pairs = stage(at.join(at.select("g", (F.col("p") - size).alias("p"), F.col("r").alias("r2")), ["g", "p"]), "rank-pairs")
+        names = ordered(_firsts(pairs, ["r", "r2"]), ["r", "r2"], "rank")
+        if names.isEmpty():
+            return levels
+        named = join_counted(pairs, names, ["r", "r2"])
+        levels.append(stage(named.select("g", "p", F.col("rank").alias("r"), _past("", F.lit(2 * size)).alias("earlier")), "ranks"))
+
+
+def longest_earlier(levels: list[DataFrame]) -> DataFrame:
+    """(g, p, m): the length m of the longest run from each place that has an earlier copy without
+    overlap, for places where there is one. levels: what doubled gave."""
+    # state: intervals of the suffixes that share m lines, named c; own: the suffix's length is m or, if bits are left, more
+    state, keys = None, ["m", "c", "r"]
+    for k in range(len(levels) - 1, -1, -1):
+        size = 1 << k
+        new = levels[k].withColumn("own", F.col("earlier"))
+        if k + 1 < len(levels):
+            longer = levels[k + 1].where("earlier").select("g", "p", F.lit(True).alias("more"))
+            new = new.join(longer, ["g", "p"], "left").withColumn("own", F.col("earlier") & F.col("more").isNull())
+        parts = [new.select("g", "p", F.lit(size).alias("m"), F.col("r").alias("c"), "own")]
+        if state is not None:
+            there = levels[k].select("g", F.col("p").alias("z"), "r")
+            tried = stage(state.withColumn("z", F.col("p") + F.col("m")).join(there, ["g", "z"]).select("g", "p", "own", *keys), "runs-tried")
+            cut = tried.groupBy(*keys).agg(F.min(F.struct("g", "p")).alias("f"), F.max(F.when(F.col("own"), F.struct("g", "p"))).alias("l"), F.count("*").alias("n"))
+            # if any suffix of its own is past the first copy, the last one is
+            cut = cut.where(F.col("l").isNotNull() & _past("l.", F.col("m") + size)).select(*keys, "f", "n")
+            cut = stage(cut.withColumn("name", F.monotonically_increasing_id()), "runs-cut")
+            grown = join_counted(tried, cut, keys).withColumn("own", F.col("own") & _past("", F.col("m") + size))
+            grown = stage(grown.select("g", "p", (F.col("m") + size).alias("m"), F.col("name").alias("c"), "own"), "runs-grown")
+            more = grown.where("own").select("g", "p", F.lit(True).alias("more"))
+            stay = state.join(more, ["g", "p"], "left").withColumn("own", F.col("own") & F.col("more").isNull())
+            parts += [grown, stay.select(*grown.columns)]
+        if k == 0:
+            parts = [x.where("own") for x in parts]
+        state = stage(reduce(DataFrame.unionByName, parts), "runs-open")
+        if k:
+            open_ = state.groupBy("m", "c").agg(F.count("*").alias("n"), F.max("own").alias("any")).where("any").drop("any")
+            state = stage(join_counted(state, stage(open_, "runs-intervals"), ["m", "c"]), "runs-held")
+    return state.select("g", "p", "m")
+
+
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """(row, gone): per row_key the places of the lines to delete, for rows that lose any."""
+    """(row, gone, runs): per row_key the places of the lines to delete and the first and last line of
+    each maximal run they come from, for rows that lose any."""
     prepare(docs.sparkSession)
     src = docs.select(F.col(id_col).cast("long").alias("i"), row_key(id_col, text_col), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     numbers = ordered(src.select("i", "row").distinct(), ["i", "row"], "g").select("row", "g")
@@ -90,56 +153,43 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     held = held.select("row", "q", "p", "w", "r")
     held = stage(held.join(numbers, "row").select("g", "row", "q", "p", "w", "r"), "repeated-lines")
 
-    def shortest(batches: Iterator[list[list]]) -> Iterator[list]:
+    def maximal(batches: Iterator[list[list]]) -> Iterator[list]:
         for gs, rows in batches:
-            out = [[], [], [], []]
+            out = [[], [], []]
             for g, own in zip(gs, rows, strict=True):
-                own = sorted((x["p"], x["w"], x["q"]) for x in own)
-                for first, size in _windows([x[1] for x in own], [x[0] for x in own], min_words):
+                own = sorted((x["p"], x["q"], x["w"], x["m"]) for x in own)
+                total, gone, runs, past = [0, *accumulate(x[2] for x in own)], [], [], 0
+                for i, (_, first, _, m) in enumerate(own):
+                    # the m lines from here repeat, so they are neighbours in own
+                    if m and i + m > past and total[i + m] - total[i] >= min_words:
+                        gone += [x[1] for x in own[max(i, past) : i + m]]
+                        past = i + m
+                        runs.append({"first": first, "last": own[past - 1][1]})
+                if runs:
                     out[0].append(g)
-                    out[1].append(own[first][0])
-                    out[2].append(size)
-                    out[3].append([x[2] for x in own[first : first + size]])
+                    out[1].append(gone)
+                    out[2].append(runs)
             yield out
 
-    grouped = held.groupBy("g").agg(F.collect_list(F.struct("p", "w", "q")).alias("l"))
-    runs = stage(map_columns(grouped, "g long, p int, m int, lines array<int>", shortest), "shortest-runs")
-    top = runs.agg(F.max("m")).first()[0] or 0
-
-    def later(at: DataFrame, size: int) -> DataFrame:
-        """Later copies among the runs of size to 2 size - 1 lines, given ranks of size lines."""
-        own = runs.where((F.col("m") >= size) & (F.col("m") < 2 * size))
-        a = at.select("g", "p", F.col("r").alias("ra"))
-        b = at.select("g", F.col("p").alias("z"), F.col("r").alias("rb"))
-        own = stage(own.join(a, ["g", "p"]).withColumn("z", F.col("p") + F.col("m") - size).join(b, ["g", "z"]), "runs-named")
-        first = own.groupBy("m", "ra", "rb").agg(F.min(F.struct("g", "p")).alias("f"), F.count("*").alias("n")).where("n > 1")
-        own = join_counted(own, stage(first, "runs-first"), ["m", "ra", "rb"])
-        copy = (F.col("g") > F.col("f.g")) | ((F.col("g") == F.col("f.g")) & (F.col("p") >= F.col("f.p") + F.col("m")))
-        return own.where(copy).select("g", F.explode("lines").alias("q"))
-
-    at, size = held.select("g", "p", "r"), 1
-    gone = later(at, 1)
-    while 2 * size <= top:
-        pairs = stage(at.join(at.select("g", (F.col("p") - size).alias("p"), F.col("r").alias("r2")), ["g", "p"]), "rank-pairs")
-        names = ordered(_repeated(pairs, ["r", "r2"]), ["r", "r2"], "rank")
-        at = stage(join_counted(pairs, names, ["r", "r2"]).select("g", "p", F.col("rank").alias("r")), "ranks")
-        size *= 2
-        gone = gone.unionByName(later(at, size))
-    return stage(gone.groupBy("g").agg(F.collect_set("q").alias("gone")).join(numbers, "g").select("row", "gone"), "gone-lines")
+    found = held.select("g", "q", "p", "w").join(longest_earlier(doubled(held)), ["g", "p"], "left")
+    found = found.groupBy("g").agg(F.collect_list(F.struct("p", "q", "w", "m")).alias("l"), F.max("m").alias("top")).where("top > 0").select("g", "l")
+    found = map_columns(found, "g long, gone array<int>, runs array<struct<first: int, last: int>>", maximal)
+    return stage(found.join(numbers, "g").select("row", "gone", "runs"), "gone-lines")
 
 
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """One row per row of docs: id, text without later copies of repeated runs, n_lines, n_removed.
+    """One row per row of docs: id, text without later copies of repeated runs, n_lines, n_removed, n_runs.
 
     The first copy stays: smallest id (null last), then place. Rows equal in id and text
     are one document, so both keep or lose the same lines. Null texts count as empty and
-    give an empty text; lines without words stay. Lines compare by 128-bit digests.
+    give an empty text; lines without words stay. Lines compare by 128-bit digests. n_runs
+    counts the maximal runs that are later copies; repeated_lines has their places.
     """
-    gone = repeated_lines(docs, id_col, text_col, min_words)
+    gone = repeated_lines(docs, id_col, text_col, min_words).select("row", "gone", F.size("runs").cast("long").alias("runs"))
     src = docs.select(F.col(id_col).cast("long").alias("i"), row_key(id_col, text_col), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     size = gone.agg(F.sum(F.size("gone") * 4 + 64)).first()[0] or 0
     out = src.join(checked_broadcast(gone, 1, rows=size), "row", "left").withColumn("l", F.split("t", "\n"))
     kept = F.array_join(F.filter("l", lambda x, i: ~F.array_contains("gone", i)), "\n")
     text = F.when(F.col("gone").isNull(), F.col("t")).otherwise(kept)
     removed = F.coalesce(F.size("gone"), F.lit(0)).cast("long")
-    return out.select(F.col("i").alias(id_col), text.alias("text"), F.size("l").cast("long").alias("n_lines"), F.when(F.col("gone").isNull(), F.lit(0).cast("long")).otherwise(removed).alias("n_removed"))
+    return out.select(F.col("i").alias(id_col), text.alias("text"), F.size("l").cast("long").alias("n_lines"), F.when(F.col("gone").isNull(), F.lit(0).cast("long")).otherwise(removed).alias("n_removed"), F.coalesce("runs", F.lit(0).cast("long")).alias("n_runs"))

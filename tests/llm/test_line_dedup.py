@@ -1,5 +1,6 @@
 import random
 
+from codeloom.llm.common import row_key
 from codeloom.llm.line_dedup import _windows, drop_repeated_lines, repeated_lines
 
 
@@ -67,3 +68,38 @@ def test_default_deletes_short_runs(spark):
     df = spark.createDataFrame([(i, "\n".join(x)) for i, x in docs.items()], "doc_id long, text string")
     got = {r.doc_id: r.text for r in drop_repeated_lines(df).collect()}
     assert got == cleaned(docs, brute(docs, 1)) == {1: "\n".join(docs[1]), 2: "two", 3: "\nthree"}
+
+
+def longest_runs(docs, least):
+    """id -> (places to delete, maximal runs): from each place the longest run with an earlier copy that it doesn't overlap."""
+    out, seen = {}, []
+    for d in sorted(docs):
+        s = [(q, x) for q, x in enumerate(docs[d]) if x.split()]
+        words, gone, runs, past = [x for _, x in s], set(), [], 0
+        seen.append(words)
+        for i in range(len(s)):
+            m = max((m for e, t in enumerate(seen) for j in range(len(t)) for m in range(1, len(s) - i + 1) if t[j : j + m] == words[i : i + m] and (e < len(seen) - 1 or j + m <= i)), default=0)
+            if m and i + m > past and sum(len(x.split()) for x in words[i : i + m]) >= least:
+                gone |= {q for q, _ in s[i : i + m]}
+                runs.append((s[i][0], s[i + m - 1][0]))
+                past = i + m
+        if runs:
+            out[d] = (sorted(gone), runs)
+    return out
+
+
+def test_runs_are_the_longest_ones(spark):
+    rng = random.Random(6)
+    lines = ["a b", "c", "d e f", "", "g h i j k"]
+    docs = {i: [rng.choice(lines) if rng.random() < 0.85 else f"own {i} {j}" for j in range(rng.randint(0, 10))] for i in range(12)}
+    docs |= {20: ["a", "x", "a", "x", "a"], 21: ["z"] * 13, 22: ["z"] * 6 + ["a", "", "x"], 23: [f"l {i}" for i in range(21)], 24: ["c"] + [f"l {i}" for i in range(19)] + ["a b"]}
+    docs[25] = docs[23] + ["", "own"]
+    df = spark.createDataFrame([(i, "\n".join(x)) for i, x in docs.items()], "doc_id long, text string")
+    ids = {r.row: r.doc_id for r in df.select("doc_id", row_key()).collect()}
+    docs = {i: "\n".join(x).split("\n") for i, x in docs.items()}
+    for least in (1, 5):
+        got = {ids[r.row]: (sorted(r.gone), [(x.first, x.last) for x in r.runs]) for r in repeated_lines(df, min_words=least).collect()}
+        assert got == longest_runs(docs, least), least
+    assert got[25] == (list(range(21)), [(0, 20)]) and got[24][1] == [(1, 19)]
+    counts = {r.doc_id: (r.n_removed, r.n_runs) for r in drop_repeated_lines(df.where("doc_id IN (20, 23, 25)")).collect()}
+    assert counts == {20: (3, 2), 23: (0, 0), 25: (21, 1)}
