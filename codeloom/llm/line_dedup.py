@@ -21,13 +21,12 @@ maximal and aren't listed. Lines without words are passed over.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 from itertools import accumulate
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import join_counted, map_columns, row_key
+from codeloom.llm.common import HOT_KEYS, join_counted, map_columns, once, row_key
 from codeloom.runtime import checked_broadcast, prepare, small_enough, stage
 
 #: Words of a run of lines that counts as repeated: every line with a word, so all repeated runs.
@@ -55,6 +54,18 @@ def _past(at: str, length: Column) -> Column:
     return F.expr(f"{at}g > f.g") | (F.expr(f"{at}g = f.g") & (F.expr(f"{at}p - f.p") >= length))
 
 
+def _with(left: DataFrame, right: DataFrame, keys: list[str], row_bytes: int = 96) -> DataFrame:
+    """join_counted, where rows of left without a match, which have rare keys or a null, stay. A
+    right side that is small enough is broadcast as a whole."""
+    if small_enough(right.count(), row_bytes):
+        return left.join(F.broadcast(right.drop("n")), keys, "left")
+    bound = (right.agg(F.sum("n")).first()[0] or 0) // HOT_KEYS + 1
+    hot, none = right.where(F.col("n") > bound).drop("n"), F.expr(" OR ".join(f"{k} IS NULL" for k in keys))
+    rest = left.where(~none).join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    rest = rest.join(right.where(F.col("n") <= bound).drop("n"), keys, "left")
+    return left.join(F.broadcast(hot), keys).unionByName(rest).unionByName(left.where(none), allowMissingColumns=True)
+
+
 def _windows(words: list[int], places: list[int], least: int) -> list[tuple[int, int]]:
     """(first, length) of the shortest runs of least words that begin or end at each of the
     lines, which are neighbours where places follow on. Deleting those that have an earlier
@@ -91,14 +102,15 @@ def doubled(held: DataFrame) -> list[DataFrame]:
     """By level k the suffixes (g, p) whose first 2**k lines repeat, with the rank r of these lines and
     earlier, whether they have an earlier copy without overlap. held: (g, p, r) of repeated lines."""
     at = held.select("g", "p", "r")
-    levels = [stage(join_counted(at, stage(_firsts(at, ["r"]), "rank-firsts"), ["r"]).select("g", "p", "r", _past("", F.lit(1)).alias("earlier")), "ranks")]
+    named = _with(at, stage(_firsts(at, ["r"]), "rank-firsts"), ["r"])
+    levels = [stage(named.select("g", "p", "r", _past("", F.lit(1)).alias("earlier")), "ranks")]
     while True:
         at, size = levels[-1].drop("earlier"), 1 << len(levels) - 1
         pairs = stage(at.join(at.select("g", (F.col("p") - size).alias("p"), F.col("r").alias("r2")), ["g", "p"]), "rank-pairs")
         names = ordered(_firsts(pairs, ["r", "r2"]), ["r", "r2"], "rank")
         if names.isEmpty():
             return levels
-        named = join_counted(pairs, names, ["r", "r2"])
+        named = _with(pairs, names, ["r", "r2"]).where("rank IS NOT NULL")
         levels.append(stage(named.select("g", "p", F.col("rank").alias("r"), _past("", F.lit(2 * size)).alias("earlier")), "ranks"))
 
 
@@ -113,25 +125,24 @@ def longest_earlier(levels: list[DataFrame]) -> DataFrame:
         if k + 1 < len(levels):
             longer = levels[k + 1].where("earlier").select("g", "p", F.lit(True).alias("more"))
             new = new.join(longer, ["g", "p"], "left").withColumn("own", F.col("earlier") & F.col("more").isNull())
-        parts = [new.select("g", "p", F.lit(size).alias("m"), F.col("r").alias("c"), "own")]
+        new = new.select("g", "p", "own", F.lit(size).alias("m"), F.col("r").alias("c"))
         if state is not None:
             there = levels[k].select("g", F.col("p").alias("z"), "r")
-            tried = stage(state.withColumn("z", F.col("p") + F.col("m")).join(there, ["g", "z"]).select("g", "p", "own", *keys), "runs-tried")
-            cut = tried.groupBy(*keys).agg(F.min(F.struct("g", "p")).alias("f"), F.max(F.when(F.col("own"), F.struct("g", "p"))).alias("l"), F.count("*").alias("n"))
+            tried = stage(state.withColumn("z", F.col("p") + F.col("m")).join(there, ["g", "z"], "left").drop("z"), "runs-tried")
+            cut = tried.where("r IS NOT NULL").groupBy(*keys).agg(F.min(F.struct("g", "p")).alias("f"), F.max(F.when(F.col("own"), F.struct("g", "p"))).alias("l"), F.count("*").alias("n"))
             # if any suffix of its own is past the first copy, the last one is
-            cut = cut.where(F.col("l").isNotNull() & _past("l.", F.col("m") + size)).select(*keys, "f", "n")
-            cut = stage(cut.withColumn("name", F.monotonically_increasing_id()), "runs-cut")
-            grown = join_counted(tried, cut, keys).withColumn("own", F.col("own") & _past("", F.col("m") + size))
-            grown = stage(grown.select("g", "p", (F.col("m") + size).alias("m"), F.col("name").alias("c"), "own"), "runs-grown")
-            more = grown.where("own").select("g", "p", F.lit(True).alias("more"))
-            stay = state.join(more, ["g", "p"], "left").withColumn("own", F.col("own") & F.col("more").isNull())
-            parts += [grown, stay.select(*grown.columns)]
-        if k == 0:
-            parts = [x.where("own") for x in parts]
-        state = stage(reduce(DataFrame.unionByName, parts), "runs-open")
+            some = F.coalesce(_past("l.", F.col("m") + size), F.lit(False))
+            cut = cut.where("n > 1").select(*keys, "f", "n", F.when(some, F.monotonically_increasing_id()).alias("name"))
+            tried = _with(tried, stage(cut, "runs-cut"), keys)
+            grows = F.coalesce(F.col("own") & _past("", F.col("m") + size), F.lit(False))
+            stays = F.struct((F.col("own") & ~grows).alias("own"), "m", "c")
+            grown = F.struct(grows.alias("own"), (F.col("m") + size).alias("m"), F.col("name").alias("c"))
+            both = F.when(F.col("name").isNull(), F.array(stays)).otherwise(F.array(stays, grown))
+            new = new.unionByName(tried.select("g", "p", F.explode(both).alias("x")).select("g", "p", "x.*"))
+        state = stage(new if k else new.where("own"), "runs-open")
         if k:
-            open_ = state.groupBy("m", "c").agg(F.count("*").alias("n"), F.max("own").alias("any")).where("any").drop("any")
-            state = stage(join_counted(state, stage(open_, "runs-intervals"), ["m", "c"]), "runs-held")
+            open_ = state.groupBy("m", "c").agg(F.count("*").alias("n"), F.max("own").alias("any")).where("n > 1")
+            state = _with(state, stage(open_, "runs-intervals"), ["m", "c"], 56).where("any").drop("any")
     return state.select("g", "p", "m")
 
 
@@ -140,18 +151,16 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     each maximal run they come from, for rows that lose any."""
     prepare(docs.sparkSession)
     src = docs.select(F.col(id_col).cast("long").alias("i"), row_key(id_col, text_col), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    numbers = ordered(src.select("i", "row").distinct(), ["i", "row"], "g").select("row", "g")
-    lines = src.select("row", F.posexplode(F.split("t", "\n")).alias("q", "line"))
-    words = F.size(F.filter(F.split("line", r"[ \t-\r]+"), lambda w: w != ""))
-    lines = lines.select("row", "q", F.unhex(F.md5(F.col("line").cast("binary"))).alias("h"), words.alias("w")).where("w > 0").distinct()
-    lines = stage(lines, "lines")
-    twice = ordered(_repeated(lines.select("h"), ["h"]), ["h"], "r")
+    numbers = ordered(src.groupBy("i", "row").agg(F.count("*").alias("n")), ["i", "row"], "g").select("row", "g", "n")
+    src = once(src, F.col("row"), numbers.where("n > 1").select("row"))
+    words = lambda x: F.size(F.filter(F.split(x, r"[ \t-\r]+"), lambda w: w != ""))
+    line = lambda x, q: F.struct(q.alias("q"), F.unhex(F.md5(x.cast("binary"))).alias("h"), words(x).alias("w"))
     # places count lines with words only, so runs reach across blank ones
-    place = F.row_number().over(Window.partitionBy("row").orderBy("q")).alias("p")
-    held = lines.select("row", "q", "h", "w", place)
-    held = held.join(checked_broadcast(twice.drop("n"), 48), "h") if small_enough(twice.count(), 48) else join_counted(stage(held, "placed-lines"), twice, ["h"])
-    held = held.select("row", "q", "p", "w", "r")
-    held = stage(held.join(numbers, "row").select("g", "row", "q", "p", "w", "r"), "repeated-lines")
+    lines = src.select("row", F.posexplode(F.filter(F.transform(F.split("t", "\n"), line), lambda x: x.w > 0)).alias("p", "x"))
+    lines = stage(lines.select("row", "p", "x.*"), "lines")
+    twice = ordered(_repeated(lines.select("h"), ["h"]), ["h"], "r")
+    held = lines.join(checked_broadcast(twice.drop("n"), 48), "h") if small_enough(twice.count(), 48) else join_counted(lines, twice, ["h"])
+    held = stage(held.join(numbers, "row").select("g", "q", "p", "w", "r"), "repeated-lines")
 
     def maximal(batches: Iterator[list[list]]) -> Iterator[list]:
         for gs, rows in batches:
@@ -171,7 +180,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     out[2].append(runs)
             yield out
 
-    found = held.select("g", "q", "p", "w").join(longest_earlier(doubled(held)), ["g", "p"], "left")
+    found = held.drop("r").join(longest_earlier(doubled(held)), ["g", "p"], "left")
     found = found.groupBy("g").agg(F.collect_list(F.struct("p", "q", "w", "m")).alias("l"), F.max("m").alias("top")).where("top > 0").select("g", "l")
     found = map_columns(found, "g long, gone array<int>, runs array<struct<first: int, last: int>>", maximal)
     return stage(found.join(numbers, "g").select("row", "gone", "runs"), "gone-lines")

@@ -1,5 +1,8 @@
 import random
 
+import pytest
+
+from codeloom.llm import line_dedup
 from codeloom.llm.common import row_key
 from codeloom.llm.line_dedup import _windows, drop_repeated_lines, repeated_lines
 
@@ -88,7 +91,11 @@ def longest_runs(docs, least):
     return out
 
 
-def test_runs_are_the_longest_ones(spark):
+@pytest.mark.parametrize("shuffled", [False, True])
+def test_runs_are_the_longest_ones(spark, monkeypatch, shuffled):
+    if shuffled:  # as for tables too large to broadcast, with hot keys and others
+        monkeypatch.setattr(line_dedup, "small_enough", lambda *a: False)
+        monkeypatch.setattr(line_dedup, "HOT_KEYS", 8)
     rng = random.Random(6)
     lines = ["a b", "c", "d e f", "", "g h i j k"]
     docs = {i: [rng.choice(lines) if rng.random() < 0.85 else f"own {i} {j}" for j in range(rng.randint(0, 10))] for i in range(12)}
